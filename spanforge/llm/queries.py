@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from spanforge.llm import format_dups, split_overlap, term_counts
+from spanforge.llm import encoding, format_dups, language, mojibake, one_form, packing, split_overlap, term_counts
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
     "p1_counts": term_counts.p1_counts,
+    "p2_found": language.p2_found,
+    "p2_segments": language.p2_segments,
+    "p3_found": mojibake.p3_found,
+    "p3_restored": mojibake.p3_restored,
+    "p4_found": one_form.p4_found,
+    "p4_forms": one_form.p4_forms,
     "p5_found": split_overlap.p5_found,
     "p5_report": split_overlap.p5_report,
     "p6_found": format_dups.p6_found,
     "p6_collapsed": format_dups.p6_collapsed,
+    "p7_ids": encoding.p7_ids,
+    "p8_containers": packing.p8_containers,
+    "p8_fill": packing.p8_fill,
 }
 
 _TERMS = """
