@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.llm import encoding, format_dups, language, mojibake, one_form, packing, split_overlap, term_counts
+from spanforge.llm import encoding, format_dups, language, mojibake, one_form, packing, split_overlap, subjects, term_counts
 
 QUERIES = {
     "p1_found": term_counts.p1_found,
@@ -20,6 +20,8 @@ QUERIES = {
     "p7_ids": encoding.p7_ids,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
+    "p9_found": subjects.p9_found,
+    "p9_composition": subjects.p9_composition,
 }
 
 _TERMS = """
