@@ -1,10 +1,213 @@
-"""Registry of the queries of the core with their DuckDB oracles."""
+"""Registry of the queries of the core with their DuckDB oracles.
+
+Every query runs over its whole tables.  Counts are built on the aligned word pairs (a line is one pair of words), the
+published main configuration, with spans of up to MAXLEN characters kept from LEAST occurrences."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge import sources
+from spanforge.common import table
+from spanforge.functions import text as T
+from spanforge.operators import alignment as A
+from spanforge.operators import codec, corpus, lattice
+from spanforge.operators import counts as C
+from spanforge.operators import scores as S
+from spanforge.plans import metrics as M
+from spanforge.plans import oracle as O
+
+MAXLEN, LEAST = O.MAXLEN, O.LEAST
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def joined(df: DataFrame) -> DataFrame:
+    """Arrays of tokens as one string, for results."""
+    return df.select(*[F.array_join(c, " ").alias(c) if t == "array<string>" else F.array_join(c, " ").alias(c) if t in ("array<bigint>", "array<int>") else F.col(c) for c, t in df.dtypes])
+
+
+def pairs(s: SparkSession, d: str) -> DataFrame:
+    return corpus.prepared(corpus.lines(s, d))
+
+
+def aligned(s: SparkSession, d: str) -> DataFrame:
+    return corpus.aligned_pairs(corpus.lines(s, d), table(s, d, "alignment"))
+
+
+def freq(s: SparkSession, d: str) -> DataFrame:
+    return corpus.span_counts(aligned(s, d), MAXLEN)
+
+
+def counts(s: SparkSession, d: str) -> DataFrame:
+    a = aligned(s, d)
+    return C.cooccurrence(a, MAXLEN, corpus.threshold(corpus.span_counts(a, MAXLEN), LEAST))
+
+
+def units(s: SparkSession, d: str) -> DataFrame:
+    """Distinct (src, span) of all aligned words and their spans."""
+    w = corpus.paired_words(aligned(s, d))
+    return w.select("src", F.explode(T.spans(F.col("word"), MAXLEN)).alias("x")).select("src", "x.span").distinct()
+
+
+def tokens_of(s: SparkSession, d: str) -> DataFrame:
+    return pairs(s, d).select("line_no", T.marked_words(F.col("trg")).alias("tokens"))
+
+
+def vocab_pair(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(s, d, "vocab").where("vocab is not null").select("export_id", F.col("vocab").alias("token"), F.col("id").cast("long").alias("id"))
+    return v.where("export_id = 1"), v.where("export_id = 2")
+
+
+def _scan(s, d):
+    df = sources.scrub(sources.scrub(corpus.lines(s, d), "src"), "trg", " ")
+    return df.select("line_no", "src", "trg")
+
+
+def _lengths(s, d):
+    p = pairs(s, d).select("line_no", F.array_join("src", " ").alias("t"))
+    return p.select("line_no", F.length("t").alias("chars"), F.octet_length("t").alias("bytes"), F.size(F.filter(F.split("t", " "), lambda x: x != "")).alias("words"))
+
+
+def _score(model: str) -> Query:
+    return lambda s, d: rounded(joined(S.score(model, units(s, d), counts(s, d)).where(F.col("score") > float("-inf"))))
+
+
+def _align(model: str) -> Query:
+    return lambda s, d: rounded(joined(S.align(model, units(s, d), counts(s, d))))
+
+
+def _viterbi(inclusive: bool) -> Query:
+    return lambda s, d: rounded(joined(lattice.viterbi(corpus.paired_words(aligned(s, d)), counts(s, d), "cond-exact", MAXLEN, inclusive)))
+
+
+def _train(method: str) -> Query:
+    return lambda s, d: rounded(lattice.train(aligned(s, d), 2000, "cond-exact", method, n_iter=2, coverage=0.9999, maxlen=MAXLEN, least=LEAST))
+
+
+def _word_lines(s, d):
+    r = corpus.aligned_words(corpus.lines(s, d), table(s, d, "alignment"))
+    return r.select("line_no", F.array("src_word").alias("s"), F.array("trg_word").alias("t"))
+
+
+def _lexical(s, d):
+    p = pairs(s, d).join(table(s, d, "alignment").select("line_no").distinct(), "line_no", "left_semi").select("line_no", F.array_distinct("src").alias("s"), F.array_distinct(T.marked_words(F.col("trg"))).alias("t"))
+    return rounded(A.lexical_step(p))
+
+
+def _symmetrise(s, d):
+    links = table(s, d, "alignment").select("line_no", F.explode("links").alias("l")).select("line_no", "l.si", "l.ti").distinct()
+    fwd = links.groupBy("line_no", "si").agg(F.min("ti").alias("ti"))
+    bwd = links.groupBy("line_no", "ti").agg(F.max("si").alias("si"))
+    return A.symmetrise(fwd, bwd)
+
+
+def _encode(s, d):
+    t = tokens_of(s, d)
+    return joined(codec.encode(t, codec.export_vocab(s, corpus.threshold(corpus.span_counts(pairs(s, d), MAXLEN), 200)), bos=1, eos=2))
+
+
+def _decode(s, d):
+    t = tokens_of(s, d)
+    v = codec.export_vocab(s, corpus.threshold(corpus.span_counts(pairs(s, d), MAXLEN), 200))
+    return codec.decode(codec.encode(t, v, bos=1, eos=2), v)
+
+
+def _lm(s, d):
+    w = pairs(s, d).select("line_no", F.array_join("src", " ").alias("t"), "src")
+    each = w.select("line_no", F.explode("src").alias("w"))
+    f = each.groupBy("w").agg(F.count("*").alias("c")).crossJoin(F.broadcast(each.agg(F.count("*").alias("n"))))
+    loss = each.join(f, "w").groupBy("line_no").agg(F.sum(-F.ln(F.col("c") / F.col("n"))).alias("loss"))
+    samples = w.join(loss, "line_no").select("loss", F.size("src").alias("tokens"), F.size("src").alias("words"), F.length("t").alias("chars"), F.octet_length("t").alias("bytes"))
+    return rounded(M.lm_metrics(samples), 4)
+
+
+def _overlap(s, d):
+    a, b = vocab_pair(s, d)
+    return rounded(M.vocab_overlap(a, b))
+
+
+def _metrics(s, d):
+    return table(s, d, "intrinsic_metrics")
+
+
+def _tok(s, d):
+    p = pairs(s, d).select(T.marked_words(F.col("trg")).alias("tokens"), F.size("src").alias("w"))
+    return rounded(M.token_metrics(p, F.col("w")))
+
+
+def _in_alphabet(s, d):
+    chars = F.broadcast(corpus.alphabet(freq(s, d)).agg(F.collect_set("char").alias("a")))  # one row, at most one entry per code point
+    w = corpus.word_counts(pairs(s, d)).crossJoin(chars)
+    return w.select("word", "n", F.forall(F.filter(F.split("word", ""), lambda x: x != ""), lambda x: F.array_contains("a", x)).alias("known"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {
+    "line_scan": _scan,
+    "prepare_src": lambda s, d: joined(pairs(s, d).select("line_no", "src")),
+    "prepare_trg": lambda s, d: pairs(s, d).select("line_no", "trg"),
+    "detokenize": lambda s, d: pairs(s, d).select("line_no", T.detokenize(F.array_join(T.marked_words(F.col("trg")), " ")).alias("text")),
+    "text_lengths": _lengths,
+    "row_dropout": lambda s, d: corpus.dropout(corpus.lines(s, d), 0.5, 7).select("line_no"),
+    "shuffle_take": lambda s, d: corpus.shuffle_take(corpus.lines(s, d), 1000, 3).select("line_no"),
+    "split_buckets": lambda s, d: corpus.buckets(corpus.lines(s, d), 20).select("line_no", "bucket"),
+    "head_lines": lambda s, d: corpus.lines(s, d).where("line_no <= 1000").select("line_no", "src", "trg"),
+    "span_enumerate": lambda s, d: corpus.word_counts(aligned(s, d)).select("word", F.explode(T.spans(F.col("word"), MAXLEN)).alias("s")).select("word", "s.*"),
+    "span_set": lambda s, d: freq(s, d).select("span"),
+    "span_frequency": freq,
+    "line_span_frequency": lambda s, d: corpus.span_counts(pairs(s, d), MAXLEN),
+    "span_threshold": lambda s, d: corpus.threshold(freq(s, d), LEAST),
+    "span_list_filter": lambda s, d: freq(s, d).join(table(s, d, "vocab").select(F.col("vocab").alias("span")).distinct(), "span", "left_semi"),
+    "alphabet": lambda s, d: corpus.alphabet(freq(s, d)),
+    "alphabet_filter": _in_alphabet,
+    "cooccurrence": counts,
+    "count_marginals": lambda s, d: C.marginals(counts(s, d)),
+    "count_minmax": lambda s, d: C.extremes(counts(s, d), "span"),
+    "table_add": lambda s, d: C.add(counts(s, d), counts(s, d).where("c >= 10")),
+    "table_scale": lambda s, d: rounded(C.scale(counts(s, d), lambda c: c * 3 / 2)),
+    "table_upsert": lambda s, d: C.upsert(counts(s, d), counts(s, d).where("c = 1").withColumn("c", F.lit(5).cast("long"))),
+    "sparsity": lambda s, d: rounded(C.sizes(counts(s, d)), 9),
+    "delete_spans": lambda s, d: C.delete_spans(counts(s, d), corpus.threshold(freq(s, d), 10 * LEAST)),
+    "row_select": lambda s, d: joined(C.select_rows(units(s, d).join(counts(s, d).select("span").distinct(), "span", "left_semi").select(F.array_join("src", " ").alias("unit"), "span", "src"), counts(s, d)).select("unit", "span", "pos", "token", "c")),
+    "reindex": lambda s, d: C.index(counts(s, d), "span", "span_id"),
+    **{f"score_{m.replace('-', '_')}": _score(m) for m in (*S.PAIRED, *S.UNPAIRED)},
+    **{f"align_{m.replace('-', '_')}": _align(m) for m in S.PAIRED},
+    "extract_topk": lambda s, d: rounded(S.extract("cond-exact", counts(s, d), 3)),
+    "information": lambda s, d: rounded(S.information(counts(s, d)), 9),
+    "prune_information": lambda s, d: rounded(S.least_informative(counts(s, d), 1000, 0.25), 9),
+    "rare_characters": lambda s, d: S.rare_characters(counts(s, d), 0.99),
+    "prune_characters": lambda s, d: S.prune_characters(counts(s, d), 0.99),
+    "viterbi_tokens": _viterbi(False),
+    "viterbi_inclusive": _viterbi(True),
+    "tokenize_lines": lambda s, d: rounded(joined(lattice.tokenize(pairs(s, d), counts(s, d), "sum-unpaired", maxlen=MAXLEN, inclusive=True))),
+    "expected_counts_step": lambda s, d: rounded(lattice.expected_counts(corpus.paired_words(aligned(s, d)), counts(s, d), "cond-exact", MAXLEN)),
+    "hard_count_step": lambda s, d: lattice.hard_counts(lattice.viterbi(corpus.paired_words(aligned(s, d)), counts(s, d), "cond-exact", MAXLEN)),
+    "train_em": _train("em"),
+    "train_mc": _train("mc"),
+    "word_pairs": lambda s, d: corpus.aligned_words(corpus.lines(s, d), table(s, d, "alignment")),
+    "phrase_pairs": lambda s, d: A.phrases(corpus.lines(s, d), table(s, d, "alignment")),
+    "link_symmetrise": _symmetrise,
+    "lexical_step": _lexical,
+    "vocab_export": lambda s, d: codec.export_vocab(s, corpus.threshold(freq(s, d), LEAST)),
+    "encode_ids": _encode,
+    "decode_ids": _decode,
+    "vocab_merge": lambda s, d: codec.merge_vocabs(*vocab_pair(s, d)),
+    "token_metrics": _tok,
+    "vocab_overlap": _overlap,
+    "lm_metrics": _lm,
+    "cell_mean": lambda s, d: rounded(M.cells(_metrics(s, d))),
+    "parity_ratio": lambda s, d: rounded(M.parity(_metrics(s, d))),
+    "renyi_ratio": lambda s, d: rounded(M.ratio(_metrics(s, d), "renyi")),
+    "length_ratio": lambda s, d: rounded(M.ratio(_metrics(s, d), "length")),
+    "metric_pivot": lambda s, d: rounded(M.pivot(_metrics(s, d), "fertility", [8000, 16000, 32000])),
+    "metric_trend": lambda s, d: rounded(M.trend(_metrics(s, d), "renyi")),
+    "linear_extrapolation": lambda s, d: rounded(M.linear_extrapolation(_metrics(s, d), "renyi"), 5),
+    "exponential_fit": lambda s, d: rounded(M.exponential_fit(_metrics(s, d), "length"), 3),
+}
+ORACLE: dict[str, str] = O.ORACLE
