@@ -109,7 +109,7 @@ def _run(keys: int) -> object:
             for c in range(keys, b.num_columns):
                 x = pa.table({"i": pa.array(range(b.num_rows), pa.int64()), "t": b.column(c).cast(pa.string())})  # noqa: F841
                 con.register("x", x)
-                out.append(con.execute(sql).to_arrow_table()["u"].combine_chunks().cast(pa.string()))
+                out.append(con.sql(sql).to_arrow_table()["u"].combine_chunks().cast(pa.string()))
                 con.unregister("x")
             yield pa.RecordBatch.from_arrays(out, names=b.schema.names)
 

@@ -37,7 +37,16 @@ _COPIES = """
 WITH k AS (SELECT line_no, regexp_replace(lower(src), '[^\\p{L}\\p{N}]+', '', 'g') AS x, regexp_replace(lower(trg), '[^\\p{L}\\p{N}]+', '', 'g') AS y FROM paired_sp_train),
      m AS (SELECT line_no, min(line_no) OVER (PARTITION BY least(x, y), greatest(x, y)) AS first_line FROM k WHERE x <> '' AND y <> '')
 """
+_OVERLAP = """
+WITH t AS (SELECT line_no, coalesce(split IN ('dev', 'devtest'), FALSE) AS ev, 0 AS f, src AS x FROM paired_sp_train UNION ALL SELECT line_no, coalesce(split IN ('dev', 'devtest'), FALSE), 1, trg FROM paired_sp_train),
+     w AS (SELECT line_no, ev, f, list_distinct(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+')) AS s FROM t WHERE x IS NOT NULL),
+     e AS (SELECT line_no, ev, f, len(s) AS n, unnest(s) AS word FROM w),
+     p AS (SELECT a.line_no AS a, b.line_no AS b, a.f AS fa, b.f AS fb, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.word = b.word WHERE a.ev AND NOT b.ev GROUP BY 1, 2, 3, 4),
+     m AS (SELECT DISTINCT a, b FROM p WHERE k >= 0.8 * (na + nb - k))
+"""
 ORACLE = {
+    "p5_found": _OVERLAP + "SELECT least(a, b) AS line_a, greatest(a, b) AS line_b FROM m",
+    "p5_report": _OVERLAP + "SELECT split, source, count(*) AS pairs, count(DISTINCT a) AS eval_rows, count(DISTINCT b) AS train_rows FROM m JOIN paired_sp_train ON a = line_no GROUP BY 1, 2",
     "p1_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_counts": _TERMS + "SELECT field, term, CAST(occurrences AS BIGINT) AS occurrences, CAST(records AS BIGINT) AS records, mark FROM m",
     "p6_found": _COPIES + "SELECT first_line, line_no FROM m WHERE line_no <> first_line",
