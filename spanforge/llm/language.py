@@ -36,6 +36,7 @@ LEAD = 0.15  # least relative lead over the second language for a segment to cou
 LEAST_GRAMS = 30  # least distinct n-grams of such a segment, which a word said over and over does not have
 UNCLEAR = 0.22  # a segment of many words with a lead below this is looked at again in windows of WINDOW words
 WINDOW = 8
+BOTH = 12  # letters of each of two scripts from which a segment is looked at again too
 DELIMITERS = ".!?;:()[]{}\"„“”«»‹›–—|/*\n\r•"
 SLICE = 2000
 SKIP, CUT = 255, 254
@@ -50,6 +51,7 @@ class Profiles:
         letters = sorted({c for _, t in samples for c in t if unicodedata.category(c)[0] == "L"})[:250]
         self.langs = sorted({lang for lang, _ in samples})
         self.letters, self.base = letters, len(letters) + 1
+        self.cyrillic = np.array([False, *("Ѐ" <= c <= "ӿ" for c in letters)])
         no = {c: i + 1 for i, c in enumerate(letters)}
         counts = {lang: Counter() for lang in self.langs}
         for lang, t in samples:
@@ -90,7 +92,7 @@ class Profiles:
         return out
 
     def segments(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """(text, start, end, words, distinct n-grams, distances) of each segment that has n-grams of some profile; start and end in code points of the lower-cased text."""
+        """(text, start, end, words, distinct n-grams, distances, whether it has letters of two scripts) of each segment that has n-grams of some profile; start and end in code points of the lower-cased text."""
         codes = npwords.joined(texts)
         cl = self.classes()[codes]
         text_no = np.cumsum(codes == 0) - (codes == 0)
@@ -105,7 +107,7 @@ class Profiles:
         at, sg = where[keep], seg[keep]
         if len(s) < 3 or not self.langs:
             e = np.empty(0, np.int64)
-            return e, e, e, e, e, np.empty((0, 1))
+            return e, e, e, e, e, np.empty((0, 1)), e.astype(bool)
         n, mid = self.base, s[1:-1] != 0
         ids = np.concatenate([self.three[(s[:-2] * n + s[1:-1]) * n + s[2:]][mid], self.two[s[:-1] * n + s[1:]][(s[:-1] != 0) & (s[1:] != 0)]])
         sgs = np.concatenate([sg[1:-1][mid], sg[:-1][(s[:-1] != 0) & (s[1:] != 0)]])
@@ -113,7 +115,7 @@ class Profiles:
         key = np.sort(sgs[hit].astype(np.int64) << 20 | ids[hit])
         if not len(key):
             e = np.empty(0, np.int64)
-            return e, e, e, e, e, np.empty((0, 1))
+            return e, e, e, e, e, np.empty((0, 1)), e.astype(bool)
         first = np.flatnonzero(np.diff(key, prepend=-1))
         count = np.minimum(np.diff(np.append(first, len(key))), 0xFFF)
         key = key[first]
@@ -136,7 +138,9 @@ class Profiles:
         start, end = at[let][lo], at[let][hi] + 1
         zero = np.append(-1, np.flatnonzero(codes == 0))
         t = text_no[start]
-        return t, start - zero[t] - 1, end - zero[t] - 1, words, grams, dist
+        cyr = np.bincount(sg, self.cyrillic[s], minlength=int(seg[-1]) + 2)[own]
+        both = (cyr >= BOTH) & (np.bincount(sg, let, minlength=int(seg[-1]) + 2)[own] - cyr >= BOTH)
+        return t, start - zero[t] - 1, end - zero[t] - 1, words, grams, dist, both
 
     def _windows(self, texts: list[str | None], parts: tuple[np.ndarray, ...], unclear: np.ndarray) -> tuple[np.ndarray, ...]:
         """The parts with each unclear one replaced by its windows of words."""
@@ -153,8 +157,8 @@ class Profiles:
                 owner.append(i)
                 offset.append(x)
         own, off = np.array(owner), np.array(offset)
-        k, s, e, w, g, d = self.segments(pieces)
-        new = (t[own[k]], start[own[k]] + off[k] + s, start[own[k]] + off[k] + e, w, g, d)
+        k, s, e, *rest = self.segments(pieces)
+        new = (t[own[k]], start[own[k]] + off[k] + s, start[own[k]] + off[k] + e, *rest)
         left = np.ones(len(t), bool)
         left[unclear] = False
         out = [np.concatenate([a[left], b]) for a, b in zip(parts, new)]
@@ -176,10 +180,10 @@ class Profiles:
         parts = self.segments(texts)
         if not len(parts[0]):
             return out
-        unclear = np.flatnonzero((parts[3] >= 2 * WINDOW) & (self._leads(parts[5])[1] < UNCLEAR))
+        unclear = np.flatnonzero((parts[3] >= 2 * WINDOW) & ((self._leads(parts[5])[1] < UNCLEAR) | parts[6]))
         if len(unclear):
             parts = self._windows(texts, parts, unclear)
-        t, start, end, words, grams, dist = parts
+        t, start, end, words, grams, dist, _ = parts
         best, lead = self._leads(dist)
         sure = (words >= LEAST_WORDS) & (grams >= LEAST_GRAMS) & (lead >= LEAD)
         first = np.flatnonzero(np.diff(t, prepend=-1))

@@ -90,7 +90,7 @@ def form_sql() -> str:
       FROM plain WHERE regexp_matches(u, '\\p{{Latin}}') AND regexp_matches(u, '{foreign}|[{LATIN}]') OR regexp_matches(u, '\\p{{Greek}}') AND regexp_matches(u, '\\p{{Cyrillic}}')),
     folded AS (SELECT i, array_to_string(list_transform(string_split(u, ' '), lambda w: {latin_word}), ' ') AS u
       FROM (SELECT i, u, n_lat > 0 AS any_lat, n_cyr > n_lat AS mostly_cyr, n_cyr = n_like AS all_like, n_lat = n_lat_like AS lat_like FROM mixed))
-    SELECT coalesce(f.u, p.u) AS u FROM plain p LEFT JOIN folded f USING (i) ORDER BY p.i"""
+    SELECT coalesce(nfc_normalize(f.u), p.u) AS u FROM plain p LEFT JOIN folded f USING (i) ORDER BY p.i"""
 
 
 def connect():
