@@ -146,8 +146,14 @@ ORACLE: dict[str, str] = {
     "align_sum": _align("cell.c / 1.0", every=True),
     "align_cond_exact": _align("cell.cond"),
     "align_pmi": _align("cell.pmi"),
+    "align_cpmi": UNITS + UNIQUE + """SELECT array_to_string(src, ' ') AS src, span, CAST(pos AS INTEGER) AS pos, token, round(score, 6) AS score FROM (SELECT uc.src, uc.span, pos, token, ln(c) - ln(sc) - ln(uc.ct) + ln(sct) AS score FROM uc JOIN ud ON uc.src = ud.src AND uc.span = ud.span WHERE c IS NOT NULL)
+    QUALIFY row_number() OVER (PARTITION BY src, span ORDER BY score DESC, pos) = 1""",
     "extract_topk": COUNTS + CELL + "SELECT span, token, round(cond, 6) AS score FROM cell QUALIFY row_number() OVER (PARTITION BY span ORDER BY cond DESC, token) <= 3",
     "information": COUNTS + "SELECT span, round(sum(c * (ln(c) - ln(ct) - ln(cs) + ln(norm)) / norm), 9) AS info FROM k JOIN ct USING (token) JOIN cs USING (span), nn WHERE length(span) > 1 GROUP BY 1",
+    "prune_information": COUNTS
+    + """, i AS (SELECT span, round(sum(c * (ln(c) - ln(ct) - ln(cs) + ln(norm)) / norm), 12) AS info FROM k JOIN ct USING (token) JOIN cs USING (span), nn WHERE length(span) > 1 GROUP BY 1),
+    z AS (SELECT greatest(least(CAST(floor(0.25 * count(*)) AS BIGINT), count(*) - 1000), 0) AS z FROM cs)
+    SELECT span, round(info, 9) AS info FROM (SELECT *, row_number() OVER (ORDER BY info, span) AS r FROM i), z WHERE r <= z""",
     "rare_characters": COUNTS
     + """, ch AS (SELECT span AS char, sum(c) AS c FROM k WHERE length(span) = 1 GROUP BY 1), r AS (SELECT char, c, sum(c) OVER (ORDER BY c, char ROWS UNBOUNDED PRECEDING) AS run, sum(c) OVER () AS total FROM ch)
     SELECT char, CAST(c AS BIGINT) AS c FROM r WHERE run <= (1 - CAST(0.99 AS DOUBLE)) * total""",
