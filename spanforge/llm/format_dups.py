@@ -32,7 +32,8 @@ def keyed(rows: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
 class CopyLedger:
     """Bucketed (key, copies, first) counts; every batch is merged by a full outer join with the buckets it touches."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))  # grows with the job
         self.spark, self.path, self.buckets, self.version, self.live = spark, path, buckets, 0, {}
 
     def add(self, batch: DataFrame) -> CopyLedger:

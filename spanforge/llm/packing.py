@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.common import materialise, table
+from spanforge.common import materialise, ship, table
 from spanforge.llm.encoding import token_counts
 
 GROUP = 8192
@@ -85,6 +85,7 @@ def pieces(counts: DataFrame, windows: DataFrame, id_col: str) -> DataFrame:
 
 def pack(counts: DataFrame, windows: DataFrame, id_col: str) -> DataFrame:
     """(window_id, capacity, container, id, piece, start_token, n_tokens)."""
+    ship(counts.sparkSession)
     items = materialise(pieces(counts, windows, id_col), "pieces")
     most = items.groupBy("window_id").count().agg(F.max("count")).first()[0] or 0
     groups = max(1, round(most / GROUP))

@@ -47,7 +47,8 @@ def group_deltas(rows: DataFrame, record: str, term: str, field: str, sign: int
 class TermLedger:
     """Persistent counts in `path`: one parquet folder per version and bucket; `apply` rewrites touched buckets only."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))  # grows with the job
         self.spark, self.path, self.buckets, self.version = spark, path, buckets, 0
         self.live: dict[int, str] = {}
         self.sums: dict[str, int] = {}
