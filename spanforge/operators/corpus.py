@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.common import table
+from spanforge.common import ship, table
 from spanforge.functions import text as T
 
 
@@ -16,6 +16,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared(rows: DataFrame) -> DataFrame:
     """(line_no, src tokens, marked trg); a line without one of its sides is not a pair."""
+    ship(rows.sparkSession)
     both = rows.where("src is not null and trg is not null")
     return both.select("line_no", T.split_tokens(T.prepare(F.col("src"))).alias("src"), T.mark_words(T.prepare(F.col("trg"))).alias("trg"))
 
@@ -75,6 +76,7 @@ def aligned_words(rows: DataFrame, align: DataFrame) -> DataFrame:
 
 def aligned_pairs(rows: DataFrame, align: DataFrame) -> DataFrame:
     """Each word pair as a line of its own, prepared: (src tokens, trg), weighted by how often it occurs."""
+    ship(rows.sparkSession)
     each = aligned_words(rows, align).groupBy("src_word", "trg_word").agg(F.count("*").alias("n"))
     pair = each.select(T.split_tokens(T.prepare(F.col("src_word"))).alias("src"), T.mark_words(T.prepare(F.col("trg_word"))).alias("trg"), "n")
     return pair.groupBy("src", "trg").agg(F.sum("n").alias("n"))
@@ -82,4 +84,5 @@ def aligned_pairs(rows: DataFrame, align: DataFrame) -> DataFrame:
 
 def paired_words(pairs: DataFrame) -> DataFrame:
     """(src, word, n): distinct lattice inputs with their weight."""
-    return pairs.select("src", F.explode(T.marked_words(F.col("trg"))).alias("word"), "n").groupBy("src", "word").agg(F.sum("n").alias("n"))
+    weight = F.col("n") if "n" in pairs.columns else F.lit(1)
+    return pairs.select("src", F.explode(T.marked_words(F.col("trg"))).alias("word"), weight.alias("n")).groupBy("src", "word").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.common import materialise
 from spanforge.functions import text as T
 
 
@@ -80,16 +81,18 @@ def same_index(a: DataFrame, b: DataFrame) -> bool:
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
+def ranked(df: DataFrame, order: list[str], name: str, base: int = 0) -> DataFrame:
+    """Dense ranks in the given order without a single-task window or sort: ranks within range partitions plus the offsets of the partitions.  The order must be total."""
+    k = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_r"))
+    k = materialise(k, "ranked")
+    n = k.groupBy("_p").agg(F.count("*").alias("n"))
+    off = n.alias("a").join(n.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_o"))
+    return k.join(F.broadcast(off), "_p").withColumn(name, (F.col("_o") + F.col("_r") + base).cast("long")).drop("_p", "_r", "_o")  # offsets: one row per partition
+
+
 def index(keys: DataFrame, key: str, id_col: str, base: int = 0) -> DataFrame:
-    """Dense ids in key order without a single-task window: range-partitioned ranks plus the offsets of the partitions."""
-    k = keys.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    k = k.withColumn("r", F.col("m").bitwiseAND((1 << 33) - 1))
-    from spanforge.common import materialise
-
-    k = materialise(k, "index")
-    n = k.groupBy("p").agg(F.count("*").alias("n"))
-    off = F.broadcast(n.alias("a").join(n.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy(F.col("a.p").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("o")))  # one row per partition
-    return k.join(off, "p").select(key, (F.col("o") + F.col("r") + base).cast("long").alias(id_col))
+    """Dense ids of distinct keys in key order."""
+    return ranked(keys.select(key).distinct(), [key], id_col, base)
 
 
 def select_rows(units: DataFrame, counts: DataFrame) -> DataFrame:

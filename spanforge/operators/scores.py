@@ -58,7 +58,7 @@ def extract(model: str, table: DataFrame, k: int = 1) -> DataFrame:
     s = cell_score(model, table)
     if k <= 0:
         return s
-    w = Window.partitionBy("span").orderBy(F.desc("score"), "token")
+    w = Window.partitionBy("span").orderBy(F.desc(F.round("score", 9)), "token")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
@@ -74,7 +74,7 @@ def align(model: str, units: DataFrame, table: DataFrame) -> DataFrame:
         s = each.join(cell_score(model, table), ["span", "token"]).select("src", "span", "pos", "token", "score")
     if model == "sum":
         return s
-    w = Window.partitionBy("src", "span").orderBy(F.desc("score"), "pos")
+    w = Window.partitionBy("src", "span").orderBy(F.desc(F.round("score", 9)), "pos")  # equal but for the order of sums is equal
     return s.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
@@ -89,11 +89,11 @@ def information(table: DataFrame) -> DataFrame:
 def least_informative(table: DataFrame, vocab_size: int, reduce: float) -> DataFrame:
     """Spans to prune: the least informative, at most a share `reduce` of all spans and down to vocab_size; ties by span.
 
-    The cut is a global rank without a single-task window: the k least by (info, span) are a distributed top-k."""
+    The cut may take most of the spans, so it is a distributed rank and not a sort into one task."""
     n = table.select("span").distinct().count()
     k = min(int(reduce * n), n - vocab_size)
     info = information(table).select(F.round("info", 12).alias("info"), "span")
-    return info.orderBy("info", "span").limit(max(k, 0)).select("span", "info")
+    return C.ranked(info, ["info", "span"], "rank").where(F.col("rank") < k).select("span", "info")
 
 
 def prune(table: DataFrame, vocab_size: int, reduce: float = 0.75) -> DataFrame:

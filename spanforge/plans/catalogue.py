@@ -98,7 +98,7 @@ def _word_lines(s, d):
 
 def _lexical(s, d):
     p = pairs(s, d).join(table(s, d, "alignment").select("line_no").distinct(), "line_no", "left_semi").select("line_no", F.array_distinct("src").alias("s"), F.array_distinct(T.marked_words(F.col("trg"))).alias("t"))
-    return rounded(A.lexical_step(p))
+    return rounded(A.lexical_step(p), 10)
 
 
 def _symmetrise(s, d):

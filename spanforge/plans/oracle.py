@@ -84,7 +84,7 @@ def psi(x: str) -> str:
 
 def _align(score: str, every: bool = False) -> str:
     each = f"SELECT array_to_string(src, ' ') AS src, span, pos, token, {score} AS score FROM uc JOIN cell USING (span, token)"
-    rank = "" if every else " QUALIFY row_number() OVER (PARTITION BY src, span ORDER BY score DESC, pos) = 1"
+    rank = "" if every else " QUALIFY row_number() OVER (PARTITION BY src, span ORDER BY round(score, 9) DESC, pos) = 1"
     return UNITS + CELL + f"SELECT src, span, CAST(pos AS INTEGER) AS pos, token, round(score, 6) AS score FROM ({each}){rank}"
 
 
@@ -147,8 +147,8 @@ ORACLE: dict[str, str] = {
     "align_cond_exact": _align("cell.cond"),
     "align_pmi": _align("cell.pmi"),
     "align_cpmi": UNITS + UNIQUE + """SELECT array_to_string(src, ' ') AS src, span, CAST(pos AS INTEGER) AS pos, token, round(score, 6) AS score FROM (SELECT uc.src, uc.span, pos, token, ln(c) - ln(sc) - ln(uc.ct) + ln(sct) AS score FROM uc JOIN ud ON uc.src = ud.src AND uc.span = ud.span WHERE c IS NOT NULL)
-    QUALIFY row_number() OVER (PARTITION BY src, span ORDER BY score DESC, pos) = 1""",
-    "extract_topk": COUNTS + CELL + "SELECT span, token, round(cond, 6) AS score FROM cell QUALIFY row_number() OVER (PARTITION BY span ORDER BY cond DESC, token) <= 3",
+    QUALIFY row_number() OVER (PARTITION BY src, span ORDER BY round(score, 9) DESC, pos) = 1""",
+    "extract_topk": COUNTS + CELL + "SELECT span, token, round(cond, 6) AS score FROM cell QUALIFY row_number() OVER (PARTITION BY span ORDER BY round(cond, 9) DESC, token) <= 3",
     "information": COUNTS + "SELECT span, round(sum(c * (ln(c) - ln(ct) - ln(cs) + ln(norm)) / norm), 9) AS info FROM k JOIN ct USING (token) JOIN cs USING (span), nn WHERE length(span) > 1 GROUP BY 1",
     "prune_information": COUNTS
     + """, i AS (SELECT span, round(sum(c * (ln(c) - ln(ct) - ln(cs) + ln(norm)) / norm), 12) AS info FROM k JOIN ct USING (token) JOIN cs USING (span), nn WHERE length(span) > 1 GROUP BY 1),
@@ -166,7 +166,7 @@ ORACLE: dict[str, str] = {
     + """, e AS (SELECT line_no, list_distinct(src) AS s, list_distinct(ws) AS t FROM lw WHERE line_no IN (SELECT line_no FROM alignment)),
     x AS (SELECT line_no, len(s) AS z, s, unnest(t) AS trg FROM e), y AS (SELECT unnest(s) AS src, trg, 1.0 / z AS p FROM x),
     c AS (SELECT src, trg, sum(p) AS c FROM y GROUP BY 1, 2), g AS (SELECT src, sum(c) AS cs FROM c GROUP BY 1)
-    SELECT src, trg, round(c / cs, 6) AS p FROM c JOIN g USING (src)""",
+    SELECT src, trg, round(c / cs, 10) AS p FROM c JOIN g USING (src)""",
     "vocab_export": ALIGNED
     + """SELECT token, CAST(id AS BIGINT) AS id FROM (VALUES ('<unk>', 0), ('<s>', 1), ('</s>', 2), ('<pad>', 3)) v(token, id) UNION ALL SELECT '▁▁{' || b || '}', b + 4 FROM range(256) r(b)
     UNION ALL SELECT span, 259 + row_number() OVER (ORDER BY span) FROM kept""",
