@@ -16,6 +16,11 @@ from spanforge.operators import counts as C
 from spanforge.operators import scores as S
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def edges(units: DataFrame, table: DataFrame, model: str, maxlen: int | None = None) -> DataFrame:
     """(src, word, n, edges): the known spans of each word with their places and scores."""
     each = units.select("src", "word", "n", F.explode(T.spans(F.col("word"), maxlen)).alias("s")).select("src", "word", "n", "s.*")
@@ -24,7 +29,7 @@ def edges(units: DataFrame, table: DataFrame, model: str, maxlen: int | None = N
 
 
 def _alphabet(table: DataFrame) -> DataFrame:
-    return table.select(F.explode(F.split("span", "")).alias("ch")).where("ch <> ''").agg(F.collect_set("ch").alias("alphabet"))  # one row, at most one entry per code point
+    return table.select(F.explode(F.split("span", "")).alias("ch")).where("ch <> ''").agg(F.array_join(F.collect_set("ch"), "").alias("alphabet"))  # one row, at most one entry per code point
 
 
 def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None, inclusive: bool = False, nonfinite: str = "table_min") -> DataFrame:
@@ -54,8 +59,9 @@ def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxle
     def step(acc: Column, i: Column) -> Column:
         ends = F.filter(F.col("e"), lambda x: x["j"] == i)
         best = F.array_max(F.transform(ends, lambda x: F.struct((F.get(acc, x["i"])["best"] + x["s"]).alias("best"), (-(i - x["i"])).cast("int").alias("size"))))
-        ok = F.array_contains("alphabet", F.substring(F.col("word"), i, F.lit(1))) & best.isNotNull()
-        cell = F.when(ok, F.struct(best["best"].alias("best"), (-best["size"]).cast("int").alias("size"))).otherwise(F.struct(F.lit(0.0).alias("best"), F.lit(1).alias("size")))
+        known = F.col("alphabet").contains(F.substring(F.col("word"), i, F.lit(1)))
+        reset = F.struct(F.lit(0.0).alias("best"), F.lit(1).alias("size"))
+        cell = let(F.when(known, best), lambda b: F.when(b.isNotNull(), F.struct(b["best"].alias("best"), (-b["size"]).cast("int").alias("size"))).otherwise(reset))
         return F.array_append(acc, cell)
 
     table_ = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("size"))).cast(state), step)
@@ -72,7 +78,8 @@ def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxle
 
 def tokenize(pairs: DataFrame, table: DataFrame, model: str = "cond-exact", **kw) -> DataFrame:
     """(line_no, tokens, loss): every line, segmented word by word; distinct (src, word) are searched once."""
-    each = pairs.select("line_no", "src", F.posexplode(T.marked_words(F.col("trg"))).alias("pos", "word"))
+    src = F.array().cast("array<string>") if model in S.UNPAIRED else F.col("src")  # without a source, a word is searched once in all
+    each = pairs.select("line_no", src.alias("src"), F.posexplode(T.marked_words(F.col("trg"))).alias("pos", "word"))
     best = viterbi(each.groupBy("src", "word").agg(F.count("*").alias("n")), table, model, **kw)
     got = each.join(best.select("src", "word", "loss", "tokens"), ["src", "word"])
     lines = got.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("ws"), F.sum("loss").alias("loss"))

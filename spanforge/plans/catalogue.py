@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge import sources
-from spanforge.common import table
+from spanforge.common import materialise, table
 from spanforge.functions import text as T
 from spanforge.operators import alignment as A
 from spanforge.operators import codec, corpus, lattice
@@ -50,6 +50,11 @@ def counts(s: SparkSession, d: str) -> DataFrame:
     return C.cooccurrence(a, MAXLEN, corpus.threshold(corpus.span_counts(a, MAXLEN), LEAST))
 
 
+def model(s: SparkSession, d: str) -> DataFrame:
+    """The count table written once, for queries that read it (and its marginals) several times."""
+    return materialise(counts(s, d), "counts")
+
+
 def units(s: SparkSession, d: str) -> DataFrame:
     """Distinct (src, span) of all aligned words and their spans."""
     w = corpus.paired_words(aligned(s, d))
@@ -75,16 +80,16 @@ def _lengths(s, d):
     return p.select("line_no", F.length("t").alias("chars"), F.octet_length("t").alias("bytes"), F.size(F.filter(F.split("t", " "), lambda x: x != "")).alias("words"))
 
 
-def _score(model: str) -> Query:
-    return lambda s, d: rounded(joined(S.score(model, units(s, d), counts(s, d)).where(F.col("score") > float("-inf"))))
+def _score(kind: str) -> Query:
+    return lambda s, d: rounded(joined(S.score(kind, units(s, d), model(s, d)).where(F.col("score") > float("-inf"))))
 
 
-def _align(model: str) -> Query:
-    return lambda s, d: rounded(joined(S.align(model, units(s, d), counts(s, d))))
+def _align(kind: str) -> Query:
+    return lambda s, d: rounded(joined(S.align(kind, units(s, d), model(s, d))))
 
 
 def _viterbi(inclusive: bool) -> Query:
-    return lambda s, d: rounded(joined(lattice.viterbi(corpus.paired_words(aligned(s, d)), counts(s, d), "cond-exact", MAXLEN, inclusive)))
+    return lambda s, d: rounded(joined(lattice.viterbi(corpus.paired_words(aligned(s, d)), model(s, d), "cond-exact", MAXLEN, inclusive)))
 
 
 def _train(method: str) -> Query:
@@ -148,6 +153,11 @@ def _in_alphabet(s, d):
     return w.select("word", "n", F.forall(F.filter(F.split("word", ""), lambda x: x != ""), lambda x: F.array_contains("a", x)).alias("known"))
 
 
+def _row_select(u, t):
+    known = u.join(t.select("span").distinct(), "span", "left_semi").select(F.array_join("src", " ").alias("unit"), "span", "src")
+    return C.select_rows(known, t).select("unit", "span", "pos", "token", "c")
+
+
 QUERIES: dict[str, Query] = {
     "line_scan": _scan,
     "prepare_src": lambda s, d: joined(pairs(s, d).select("line_no", "src")),
@@ -169,25 +179,25 @@ QUERIES: dict[str, Query] = {
     "cooccurrence": counts,
     "count_marginals": lambda s, d: C.marginals(counts(s, d)),
     "count_minmax": lambda s, d: C.extremes(counts(s, d), "span"),
-    "table_add": lambda s, d: C.add(counts(s, d), counts(s, d).where("c >= 10")),
+    "table_add": lambda s, d: (lambda t: C.add(t, t.where("c >= 10")))(model(s, d)),
     "table_scale": lambda s, d: rounded(C.scale(counts(s, d), lambda c: c * 3 / 2)),
-    "table_upsert": lambda s, d: C.upsert(counts(s, d), counts(s, d).where("c = 1").withColumn("c", F.lit(5).cast("long"))),
-    "sparsity": lambda s, d: rounded(C.sizes(counts(s, d)), 9),
-    "delete_spans": lambda s, d: C.delete_spans(counts(s, d), corpus.threshold(freq(s, d), 10 * LEAST)),
-    "row_select": lambda s, d: joined(C.select_rows(units(s, d).join(counts(s, d).select("span").distinct(), "span", "left_semi").select(F.array_join("src", " ").alias("unit"), "span", "src"), counts(s, d)).select("unit", "span", "pos", "token", "c")),
-    "reindex": lambda s, d: C.index(counts(s, d), "span", "span_id"),
+    "table_upsert": lambda s, d: (lambda t: C.upsert(t, t.where("c = 1").withColumn("c", F.lit(5).cast("long"))))(model(s, d)),
+    "sparsity": lambda s, d: rounded(C.sizes(model(s, d)), 9),
+    "delete_spans": lambda s, d: C.delete_spans(model(s, d), corpus.threshold(freq(s, d), 10 * LEAST)),
+    "row_select": lambda s, d: _row_select(units(s, d), model(s, d)),
+    "reindex": lambda s, d: C.index(model(s, d), "span", "span_id"),
     **{f"score_{m.replace('-', '_')}": _score(m) for m in (*S.PAIRED, *S.UNPAIRED)},
     **{f"align_{m.replace('-', '_')}": _align(m) for m in S.PAIRED},
-    "extract_topk": lambda s, d: rounded(S.extract("cond-exact", counts(s, d), 3)),
-    "information": lambda s, d: rounded(S.information(counts(s, d)), 9),
-    "prune_information": lambda s, d: rounded(S.least_informative(counts(s, d), 1000, 0.25), 9),
-    "rare_characters": lambda s, d: S.rare_characters(counts(s, d), 0.99),
-    "prune_characters": lambda s, d: S.prune_characters(counts(s, d), 0.99),
+    "extract_topk": lambda s, d: rounded(S.extract("cond-exact", model(s, d), 3)),
+    "information": lambda s, d: rounded(S.information(model(s, d)), 9),
+    "prune_information": lambda s, d: rounded(S.least_informative(model(s, d), 1000, 0.25), 9),
+    "rare_characters": lambda s, d: S.rare_characters(model(s, d), 0.99),
+    "prune_characters": lambda s, d: S.prune_characters(model(s, d), 0.99),
     "viterbi_tokens": _viterbi(False),
     "viterbi_inclusive": _viterbi(True),
-    "tokenize_lines": lambda s, d: rounded(joined(lattice.tokenize(pairs(s, d), counts(s, d), "sum-unpaired", maxlen=MAXLEN, inclusive=True))),
-    "expected_counts_step": lambda s, d: rounded(lattice.expected_counts(corpus.paired_words(aligned(s, d)), counts(s, d), "cond-exact", MAXLEN)),
-    "hard_count_step": lambda s, d: lattice.hard_counts(lattice.viterbi(corpus.paired_words(aligned(s, d)), counts(s, d), "cond-exact", MAXLEN)),
+    "tokenize_lines": lambda s, d: rounded(joined(lattice.tokenize(pairs(s, d), model(s, d), "sum-unpaired", maxlen=MAXLEN, inclusive=True))),
+    "expected_counts_step": lambda s, d: rounded(lattice.expected_counts(corpus.paired_words(aligned(s, d)), model(s, d), "cond-exact", MAXLEN)),
+    "hard_count_step": lambda s, d: lattice.hard_counts(lattice.viterbi(corpus.paired_words(aligned(s, d)), model(s, d), "cond-exact", MAXLEN)),
     "train_em": _train("em"),
     "train_mc": _train("mc"),
     "word_pairs": lambda s, d: corpus.aligned_words(corpus.lines(s, d), table(s, d, "alignment")),
