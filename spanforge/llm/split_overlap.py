@@ -2,36 +2,33 @@
 
 Normalised texts (lower-cased runs of letters and digits) are cut by content: a rolling hash over two words decides, a
 chunk ending where it is the least within REACH words, so an edit moves only the cuts next to it.  Chunk digests are
-joined across the splits and the lengths of shared chunks summed into an overlap fraction; what passes is checked
-exactly on the words themselves.
+joined across the splits; what shares one and may reach the threshold is checked exactly on the words themselves.
 
 Texts with the same set of words form one class, so copies are compared once and expanded in the result only; a class
-that holds a large share of the rows sends its chunks once.  Phrases that stand everywhere are no evidence: of each
-evaluation text the rarer half of its chunks (and one more) is looked up, counted over the whole corpus.  Every chunk row
+that holds a large share of the rows sends its chunks once.  All chunks of an evaluation text are looked up, and one that
+is shared makes a pair.  Every chunk row
 carries a parity sketch of its text's words, whose difference never exceeds that of the texts, so a pair that cannot
 reach the threshold is dropped inside the join and none that can is.
 
 Defined results: null, empty and blank texts and texts without letter or digit match nothing; a pair of rows comes out
-once whichever texts of it match; repeated rows give a pair each; ties in rarity are broken by digest; empty tables give
-an empty result.
+once whichever texts of it match; repeated rows give a pair each; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanforge.common import materialise, ship, table
 from spanforge.llm import npwords
 
 THRESHOLD = 0.8
 REACH = 2
-LEAST = 0.05  # overlap fraction of looked-up chunks from which a pair is checked
 HOT_SHARE = 1e-4  # classes with at least this share of all texts: at most 1 / HOT_SHARE
 CHECK_ROWS = 500_000  # texts to check that may be broadcast; beyond, they are joined by a shuffle
 EVAL = ("dev", "devtest")
@@ -84,7 +81,7 @@ def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b) of different classes, a with evaluation rows and b with training rows, that share looked-up chunks and may reach the threshold."""
+    """(a, b) of different classes, a with evaluation rows and b with training rows, that share a chunk and may reach the threshold."""
     total = reps.agg(F.sum("copies")).first()[0] or 0
     hot = F.broadcast(reps.where(F.col("copies") >= max(2.0, HOT_SHARE * total)).select("cls", "rep")) if HOT_SHARE * total > 2 else None
     if hot is not None:
@@ -94,16 +91,15 @@ def _near(texts: DataFrame, reps: DataFrame) -> DataFrame:
     ev = each.where("ev").select("digest", "cls", "sketch").distinct()
     if hot is not None:  # the representative of a hot class may be an evaluation row
         train = train.unionByName(texts.where("rep is not null and ev and rep.id = id and rep.field = field").select("cls", "sketch", F.explode("digests").alias("digest")).select("digest", "cls", "sketch"))
-    df = train.groupBy("digest").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("cls")
-    ranked = ev.join(df, "digest", "left").withColumn("r", F.row_number().over(w.orderBy(F.coalesce("df", F.lit(0)), "digest"))).withColumn("k", F.count("*").over(w))
-    probe = ranked.where((F.col("r") <= F.ceil(F.col("k") / 2) + 1) & F.col("df").isNotNull()).select("digest", F.col("cls").alias("a"), F.col("sketch").alias("sa"))
     n = lambda s: F.col(s).bitwiseAND(255)
     most = (n("sa") + n("sb")) * ((1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9
     may = (F.bit_count(F.shiftrightunsigned(F.col("sa").bitwiseXOR(F.col("sb")), 8)) <= most) & (F.abs(n("sa") - n("sb")) <= most) | (n("sa") == 255) | (n("sb") == 255)
-    hits = probe.join(train.select("digest", F.col("cls").alias("b"), F.col("sketch").alias("sb")), "digest").where((F.col("a") != F.col("b")) & may)
-    each = hits.groupBy("a", "b", "digest").agg(F.first("sa").alias("sa"))
-    return each.groupBy("a", "b").agg((F.sum(F.col("digest").bitwiseAND(15)) / F.first(n("sa"))).alias("fraction")).where(F.col("fraction") >= LEAST).select("a", "b")
+    # texts that reach the threshold differ in size by a factor of 1 / THRESHOLD at most, so their bands are neighbours; also where both are counted up to 255 only
+    band = lambda s: F.floor(F.log(n(s).cast("double")) / math.log(1.01 / THRESHOLD)).cast("int")
+    probe = ev.select("digest", F.col("cls").alias("a"), F.col("sketch").alias("sa")).withColumn("band", F.explode(F.array(*[band("sa") + d for d in (-1, 0, 1)])))
+    looked = train.select("digest", F.col("cls").alias("b"), F.col("sketch").alias("sb")).withColumn("band", band("sb"))
+    hits = probe.join(looked, ["digest", "band"]).where((F.col("a") != F.col("b")) & may)
+    return hits.select("a", "b").distinct()
 
 
 def _words_of(rows: DataFrame, id_col: str, fields: tuple[str, ...], wanted: DataFrame) -> DataFrame:
