@@ -36,6 +36,7 @@ LEAD = 0.15  # least relative lead over the second language for a segment to cou
 LEAST_GRAMS = 30  # least distinct n-grams of such a segment, which a word said over and over does not have
 UNCLEAR = 0.22  # a segment of many words with a lead below this is looked at again in windows of WINDOW words
 WINDOW = 8
+SWITCH = 20.0  # log-odds that another language must have over a run of words of a segment to be looked at there
 BOTH = 12  # letters of each of two scripts from which a segment is looked at again too
 DELIMITERS = ".!?;:()[]{}\"„“”«»‹›–—|/*\n\r•"
 SLICE = 2000
@@ -67,6 +68,7 @@ class Profiles:
             for r, g in enumerate(tops[lang]):
                 self.ranks[ids[g], k] = r
         n = self.base
+        self.logp = np.ascontiguousarray(-np.log(self.ranks.T + 20.0))  # of an n-gram in a language, falling with its rank
         self.two, self.three = np.full(n * n, -1, np.int32), np.full(n * n * n, -1, np.int32)
         for g, i in ids.items():
             if len(g) == 2:
@@ -91,8 +93,10 @@ class Profiles:
         out[0] = CUT
         return out
 
-    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """(text, start, end, words, distinct n-grams, distances, whether it has letters of two scripts) of each segment that has n-grams of some profile; start and end in code points of the lower-cased text."""
+    def segments(self, texts: list[str | None], cuts: dict[int, list[int]] | None = None) -> tuple[np.ndarray, ...]:
+        """cuts: gets the places where the language changes inside a segment, by number of the segment.
+
+        (text, start, end, words, distinct n-grams, distances, whether it has letters of two scripts) of each segment that has n-grams of some profile; start and end in code points of the lower-cased text."""
         codes = npwords.joined(texts)
         cl = self.classes()[codes]
         text_no = np.cumsum(codes == 0) - (codes == 0)
@@ -139,18 +143,81 @@ class Profiles:
         zero = np.append(-1, np.flatnonzero(codes == 0))
         t = text_no[start]
         cyr = np.bincount(sg, self.cyrillic[s], minlength=int(seg[-1]) + 2)[own]
+        if cuts is not None:
+            pos = np.concatenate([np.flatnonzero(mid) + 1, np.flatnonzero((s[:-1] != 0) & (s[1:] != 0))])
+            cuts |= self._changes(ids[hit], pos[hit], word, sg, own, words, at - zero[text_no[at]] - 1)
         both = (cyr >= BOTH) & (np.bincount(sg, let, minlength=int(seg[-1]) + 2)[own] - cyr >= BOTH)
         return t, start - zero[t] - 1, end - zero[t] - 1, words, grams, dist, both
 
-    def _windows(self, texts: list[str | None], parts: tuple[np.ndarray, ...], unclear: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The parts with each unclear one replaced by its windows of words."""
+    def _changes(self, ids: np.ndarray, pos: np.ndarray, word: np.ndarray, sg: np.ndarray, own: np.ndarray, words: np.ndarray, place: np.ndarray) -> dict[int, list[int]]:
+        """Places in the text at which the language changes, of each segment of more than one window in which some run of
+        words, at any word, speaks for another language than the rest; words are compared one by one there."""
+        long = np.zeros(int(sg[-1]) + 2, bool)
+        long[own[words > WINDOW]] = True
+        start = word[long[sg[word]]]
+        if not len(start) or len(self.langs) < 2:
+            return {}
+        use = long[sg[pos]]
+        at = np.searchsorted(start, pos[use], "right") - 1
+        each = np.stack([np.bincount(at, lp[ids[use]], minlength=len(start)) for lp in self.logp], axis=1)  # words x languages
+        seg = sg[start]
+        first = np.flatnonzero(np.diff(seg, prepend=-1))
+        size = np.diff(np.append(first, len(seg)))
+        main = np.add.reduceat(each, first, axis=0).argmax(axis=1)
+        lead = each - np.take_along_axis(each, np.repeat(main, size)[:, None], axis=1)
+        run = np.concatenate([np.zeros((1, lead.shape[1])), np.cumsum(lead, axis=0)])
+        odd = np.zeros(len(first), bool)
+        of = np.repeat(np.arange(len(first)), size)
+        for n in (LEAST_WORDS, WINDOW):
+            inside = np.flatnonzero(of[n - 1 :] == of[: len(of) - n + 1])
+            odd[of[inside[(run[inside + n] - run[inside]).max(axis=1) > SWITCH]]] = True
+        out = {}
+        for k in np.flatnonzero(odd).tolist():
+            a, b = int(first[k]), int(first[k] + size[k])
+            best, back = each[a].copy(), []
+            for i in range(a + 1, b):
+                top = int(best.argmax())
+                stay = best >= best[top] - SWITCH
+                back.append((top, stay))
+                best = np.where(stay, best, best[top] - SWITCH) + each[i]
+            lang, found = int(best.argmax()), []
+            for i in range(b - 1, a, -1):
+                top, stay = back[i - a - 1]
+                if not stay[lang]:
+                    lang = top
+                    found.append(int(place[start[i]]))
+            if found:
+                out[int(np.searchsorted(own, seg[a]))] = found[::-1]
+        return out
+
+    @staticmethod
+    def _clauses(texts: list[str | None], parts: tuple[np.ndarray, ...], changes: dict[int, list[int]]) -> dict[int, list[int]]:
+        """The changes without those around a piece of too few running words, as names of another language make."""
+        out = {}
+        for i, cuts in changes.items():
+            t = texts[parts[0][i]].replace("\0", " ")
+            low = t.lower()
+            t = t if len(t) == len(low) else low
+            kept: list[int] = []
+            last = int(parts[1][i])
+            for c in [*cuts, int(parts[2][i])]:
+                words = re.findall(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*", t[last:c])
+                if sum(not w[0].isupper() or len(w) > 1 and w.isupper() for w in words) >= LEAST_WORDS:
+                    kept.append(last)
+                last = c
+            if len(kept) > 1:
+                out[i] = kept[1:]
+        return out
+
+    def _windows(self, texts: list[str | None], parts: tuple[np.ndarray, ...], unclear: np.ndarray, changes: dict[int, list[int]]) -> tuple[np.ndarray, ...]:
+        """The parts with each unclear one replaced by its pieces between changes of language, or else by its windows of words."""
         t, start, end = parts[0], parts[1], parts[2]
         pieces, owner, offset = [], [], []
         for i in unclear.tolist():
             low = texts[t[i]].replace("\0", " ").lower()[start[i] : end[i]]
             at = [m.start() for m in re.finditer(r"\S+", low)]
-            cuts = [*at[::WINDOW], len(low)]
-            if len(at) % WINDOW and len(at) % WINDOW < WINDOW // 2 and len(cuts) > 2:
+            cuts = [0, *(c - int(start[i]) for c in changes[i]), len(low)] if i in changes else [*at[::WINDOW], len(low)]
+            if i not in changes and len(at) % WINDOW and len(at) % WINDOW < WINDOW // 2 and len(cuts) > 2:
                 del cuts[-2]  # a short last window goes to the one before
             for x, y in zip(cuts, cuts[1:]):
                 pieces.append(low[x:y])
@@ -177,12 +244,16 @@ class Profiles:
     def label(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]] | None]:
         """Runs of one language in each text."""
         out: list[list | None] = [None] * len(texts)
-        parts = self.segments(texts)
+        changes: dict[int, list[int]] = {}
+        parts = self.segments(texts, changes)
         if not len(parts[0]):
             return out
-        unclear = np.flatnonzero((parts[3] >= 2 * WINDOW) & ((self._leads(parts[5])[1] < UNCLEAR) | parts[6]))
+        changes = self._clauses(texts, parts, changes)
+        again = (parts[3] >= 2 * WINDOW) & ((self._leads(parts[5])[1] < UNCLEAR) | parts[6])
+        again[list(changes)] = True
+        unclear = np.flatnonzero(again)
         if len(unclear):
-            parts = self._windows(texts, parts, unclear)
+            parts = self._windows(texts, parts, unclear, changes)
         t, start, end, words, grams, dist, _ = parts
         best, lead = self._leads(dist)
         sure = (words >= LEAST_WORDS) & (grams >= LEAST_GRAMS) & (lead >= LEAD)
