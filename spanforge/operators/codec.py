@@ -46,6 +46,14 @@ def decode(ids: DataFrame, vocab: DataFrame, base: int = 4) -> DataFrame:
     return ids.select("line_no").join(got.select("line_no", text.alias("text")), "line_no", "left").select("line_no", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def merge_all(vocab: DataFrame) -> DataFrame:
+    """(token, id) of all vocabularies (export_id, token, id): merged in order of export, each adding what none before it has, by its id."""
+    first = vocab.groupBy("token").agg(F.min(F.struct("export_id", "id")).alias("f"))
+    key = F.concat_ws("|", F.lpad(F.col("f.export_id").cast("string"), 20, "0"), F.lpad(F.col("f.id").cast("string"), 20, "0"), "token")
+    both = first.select("token", key.alias("k"))
+    return both.join(C.index(both.select("k"), "k", "id"), "k").select("token", "id")
+
+
 def merge_vocabs(first: DataFrame, second: DataFrame) -> DataFrame:
     """(token, id): the first vocabulary re-numbered by id, then what only the second has, by its id."""
     a = first.groupBy("token").agg(F.min("id").alias("id"))

@@ -65,8 +65,12 @@ def tokens_of(s: SparkSession, d: str) -> DataFrame:
     return pairs(s, d).select("line_no", T.marked_words(F.col("trg")).alias("tokens"))
 
 
+def vocabs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "vocab").where("vocab is not null").select("export_id", F.col("vocab").alias("token"), F.col("id").cast("long").alias("id"))
+
+
 def vocab_pair(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v = table(s, d, "vocab").where("vocab is not null").select("export_id", F.col("vocab").alias("token"), F.col("id").cast("long").alias("id"))
+    v = vocabs(s, d)
     return v.where("export_id = 1"), v.where("export_id = 2")
 
 
@@ -208,8 +212,10 @@ QUERIES: dict[str, Query] = {
     "encode_ids": _encode,
     "decode_ids": _decode,
     "vocab_merge": lambda s, d: codec.merge_vocabs(*vocab_pair(s, d)),
+    "vocab_merge_all": lambda s, d: codec.merge_all(vocabs(s, d)),
     "token_metrics": _tok,
     "vocab_overlap": _overlap,
+    "vocab_overlap_all": lambda s, d: rounded(M.vocab_overlaps(vocabs(s, d))),
     "lm_metrics": _lm,
     "cell_mean": lambda s, d: rounded(M.cells(_metrics(s, d))),
     "parity_ratio": lambda s, d: rounded(M.parity(_metrics(s, d))),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEYS = ["pair", "size", "vocab", "alignment", "model"]
 VALUES = ["length", "renyi", "vocab_overlap", "single_char_macro", "single_char_micro", "vocab_usage", "fertility", "start_word"]
@@ -31,6 +32,17 @@ def vocab_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg((F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) / F.count("*")).alias("overlap"))
 
 
+def vocab_overlaps(vocab: DataFrame) -> DataFrame:
+    """(export_id, other_id, overlap) of each vocabulary (export_id, token) and the next one by number."""
+    t = vocab.select("export_id", "token").distinct()
+    size = t.groupBy("export_id").agg(F.count("*").alias("n"))
+    after = size.select("export_id", F.lead("export_id").over(Window.orderBy("export_id")).alias("other_id"), "n", F.lead("n").over(Window.orderBy("export_id")).alias("m")).where("other_id is not null")
+    other = t.select(F.col("export_id").alias("other_id"), "token")
+    shared = t.join(after, "export_id").join(other, ["other_id", "token"]).groupBy("export_id").agg(F.count("*").alias("k"))
+    k = F.coalesce("k", F.lit(0))
+    return after.join(shared, "export_id", "left").select("export_id", "other_id", (k / (F.col("n") + F.col("m") - k)).alias("overlap"))
+
+
 def lm_metrics(samples: DataFrame) -> DataFrame:
     """Perplexities of the summed loss per sample, token, word, character and byte, and bits per byte and character."""
     s = samples.agg(F.sum("loss").alias("l"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tokens", "words", "chars", "bytes")])
