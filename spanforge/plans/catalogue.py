@@ -106,8 +106,11 @@ def _word_lines(s, d):
 
 
 def _lexical(s, d):
-    p = pairs(s, d).join(table(s, d, "alignment").select("line_no").distinct(), "line_no", "left_semi").select("line_no", F.array_distinct("src").alias("s"), F.array_distinct(T.marked_words(F.col("trg"))).alias("t"))
-    return rounded(A.lexical_step(p), 10)
+    return _lexical_of(pairs(s, d).join(table(s, d, "alignment").select("line_no").distinct(), "line_no", "left_semi"))
+
+
+def _lexical_of(p: DataFrame) -> DataFrame:
+    return rounded(A.lexical_step(p.select("line_no", F.array_distinct("src").alias("s"), F.array_distinct(T.marked_words(F.col("trg"))).alias("t"))), 10)
 
 
 def _symmetrise(s, d):
@@ -208,6 +211,7 @@ QUERIES: dict[str, Query] = {
     "phrase_pairs": lambda s, d: A.phrases(corpus.lines(s, d), table(s, d, "alignment")),
     "link_symmetrise": _symmetrise,
     "lexical_step": _lexical,
+    "lexical_step_all": lambda s, d: _lexical_of(pairs(s, d)),
     "vocab_export": lambda s, d: codec.export_vocab(s, corpus.threshold(freq(s, d), LEAST)),
     "encode_ids": _encode,
     "decode_ids": _decode,
