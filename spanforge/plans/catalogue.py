@@ -1,7 +1,8 @@
 """Registry of the queries of the core with their DuckDB oracles.
 
-Every query runs over its whole tables.  Counts are built on the aligned word pairs (a line is one pair of words), the
-published main configuration, with spans of up to MAXLEN characters kept from LEAST occurrences."""
+Queries run over their whole tables but for vocab_merge, vocab_overlap and lexical_step, which follow their SQL (see *_all).
+Counts are built on the aligned word pairs (a line is one pair of words), with spans of up to MAXLEN characters kept from
+LEAST occurrences: a cut of the published configuration, which has neither limit (README)."""
 
 from __future__ import annotations
 
