@@ -15,6 +15,7 @@ QUERIES = {
     "p4_forms": one_form.p4_forms,
     "p5_found": split_overlap.p5_found,
     "p5_report": split_overlap.p5_report,
+    "p5_fractions": split_overlap.p5_fractions,
     "p6_found": format_dups.p6_found,
     "p6_collapsed": format_dups.p6_collapsed,
     "p7_ids": encoding.p7_ids,
