@@ -9,7 +9,7 @@ The cut makes the join exact for word sets, whatever the order of the words and
 reach the threshold differ by at most d words, each of which changes one chunk, so of any d + 1 chunks of the one text at
 least one stands unchanged in the other.  An evaluation text looks up its d + 1 longest chunks (chunks that no training text
 has count with them: the bound is on changed chunks).  A text whose words fall into fewer than d + 1 chunks of a band (few,
-most of them of four or five words) is looked up by chunks of one word, the d + 1 rarest, in a pass of its own.
+most of them of four or five words) is looked up by chunks of one word, d + 1 rare ones, in a pass of its own.
 
 Texts with the same set of words form one class, told apart by 128 hash bits, and a class that stands out sends its chunks
 once a side, so copies are compared once and expanded in the result only.  Every chunk row carries a parity sketch of its
@@ -212,30 +212,37 @@ def _word_rows(known: object | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _near_by_word(tagged: DataFrame, texts: DataFrame, fields: tuple[str, ...]) -> DataFrame | None:
-    """(a, b, shared) for the evaluation texts with too few chunks: every pair that shares one of the d + 1 rarest words and may reach the threshold."""
+    """(a, b, shared) for the evaluation texts with too few chunks: every pair that shares one of d + 1 words and may reach the
+    threshold.  Any d + 1 words do; those in the fewest evaluation texts are taken."""
     spark = tagged.sparkSession
     rest = texts.where("ev and rest").select("id", "cls")
     n = rest.limit(CHECK_ROWS + 1).count()
     if n == 0:
         return None
-    keys = rest.select("id").distinct()
-    wide = tagged.where("ev").join(F.broadcast(keys) if n <= CHECK_ROWS else keys, "id").select(*fields)
+    bounded = lambda df: F.broadcast(df) if n <= CHECK_ROWS else df
     schema = "cls long, sketch long, word long"
-    ev = wide.mapInArrow(_word_rows(None), schema).join(rest.select("cls").distinct(), "cls", "left_semi").distinct()
+
+    def known(words: DataFrame) -> object | None:
+        """The words for the workers, where they are few enough."""
+        if n > CHECK_ROWS or words.limit(CHECK_ROWS + 1).count() > CHECK_ROWS:
+            return None
+        return spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in words.collect()], np.int64).view(np.uint64)))
+
+    def rows_of(side: DataFrame, words: DataFrame) -> DataFrame:
+        few = known(words)
+        out = side.select(*fields).mapInArrow(_word_rows(few), schema)
+        return out if few is not None else out.join(words, "word", "left_semi")
+
+    wide = tagged.where("ev").join(bounded(rest.select("id").distinct()), "id").select(*fields)
+    ev = wide.mapInArrow(_word_rows(None), schema).join(bounded(rest.select("cls").distinct()), "cls", "left_semi").distinct()
     ev = materialise(ev.select(F.col("cls").alias("a"), F.col("sketch").alias("sa"), "word"), "rest")
-    words = ev.select("word").distinct()
-    known = None
-    if n <= CHECK_ROWS and words.count() <= CHECK_ROWS:
-        known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in words.collect()], np.int64).view(np.uint64)))  # at most CHECK_ROWS words, counted above
-    tr = tagged.where("not ev").select(*fields).mapInArrow(_word_rows(known), schema)
-    if known is None:
-        tr = tr.join(words, "word", "left_semi")
-    tr = materialise(tr.select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), "word").distinct(), "restwords")
-    df = tr.groupBy("word").agg(F.count("*").alias("df"))
+    df = rows_of(tagged.where("ev"), ev.select("word").distinct()).groupBy("word").agg(F.count("*").alias("df"))
     most = F.floor(_size("sa") * ((1 / THRESHOLD + 1) * (1 - THRESHOLD) / (1 + THRESHOLD)) + 1e-9)  # of all bands
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")))
-    rare = ev.join(df, "word", "left").groupBy("a", "sa").agg(order.alias("w")).select("a", "sa", F.explode(F.slice("w", F.lit(1), F.when(_size("sa") < 255, most + 1).otherwise(F.size("w")).cast("int"))).alias("w"))
-    hits = tr.join(rare.select("a", "sa", F.col("w.word").alias("word")), "word").where((F.col("a") != F.col("b")) & _may())
+    order = F.sort_array(F.collect_list(F.struct("df", "word")))
+    rare = ev.join(df, "word").groupBy("a", "sa").agg(order.alias("w")).select("a", "sa", F.explode(F.slice("w", F.lit(1), F.when(_size("sa") < 255, most + 1).otherwise(F.size("w")).cast("int"))).alias("w"))
+    rare = materialise(rare.select("a", "sa", F.col("w.word").alias("word")), "rare")
+    tr = rows_of(tagged.where("not ev"), rare.select("word").distinct()).select(F.col("cls").alias("b"), F.col("sketch").alias("sb"), "word")
+    hits = tr.join(rare, "word").where((F.col("a") != F.col("b")) & _may())
     return hits.groupBy("a", "b").agg(F.lit(0).cast("long").alias("shared"))
 
 
