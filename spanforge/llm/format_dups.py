@@ -1,7 +1,7 @@
 """Problem 6: records that differ in white space, case, punctuation or field order only.
 
 The canonical key of a record is an md5 over its two texts, lower-cased and reduced to letters and digits, in sorted
-order.  A ledger keeps one row per key (copies, earliest record) in hash buckets; a batch is aggregated to one row per
+order.  A persistent ledger keeps one row per key (copies, earliest record) in hash buckets; a batch is aggregated to one row per
 key first (map-side combine, so a key with a third of all rows sends one row per task), then full-outer-joined with the
 matching buckets.
 
@@ -11,10 +11,13 @@ repeated rows are copies; the representative is the smallest id, so ties cannot
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.common import materialise, scratch, table
+from spanforge.llm.ledger import Ledger, loads
 
 HOT_SHARE = 1e-4  # keys with at least this share of all rows: at most 1 / HOT_SHARE, so they may be broadcast
 
@@ -30,38 +33,19 @@ def keyed(rows: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
 
 
 class CopyLedger:
-    """Bucketed (key, copies, first) counts; every batch is merged by a full outer join with the buckets it touches."""
+    """Persistent (key, copies, first) counts in the folder `path`, opened again if it exists; a batch given twice counts once."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))  # grows with the job
-        self.spark, self.path, self.buckets, self.version, self.live = spark, path, buckets, 0, {}
-
-    def add(self, batch: DataFrame) -> CopyLedger:
-        new = batch.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("m")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        self.version += 1
-        at = f"{self.path}/v{self.version}"
-        touched = list(range(self.buckets))
-        if self.live:
-            new = materialise(new, "copies")
-            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets` values
-            new = self.read(touched).join(new, ["bucket", "key"], "full_outer").select(
-                "bucket", "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("first", "m").alias("first"))
-        else:
-            new = new.select("bucket", "key", F.col("n").alias("copies"), F.col("m").alias("first"))
-        new.repartition(min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").write.partitionBy("bucket").parquet(at)
-        for b in touched:
-            self.live[b] = at
+        self.state = Ledger(spark, path, {"copies": ("key binary", {"copies": "sum", "first": "min"})}, buckets)
+
+    def add(self, name: str, batch: DataFrame) -> CopyLedger:
+        if not self.state.applied(name):
+            self.state.merge("copies", batch.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("first")))
+            self.state.commit(name)
         return self
 
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        schema = "bucket int, key binary, copies long, first long"
-        out = self.spark.createDataFrame([], schema)
-        for at in sorted(set(self.live.values())):
-            bs = [b for b, p in self.live.items() if p == at and (only is None or b in only)]
-            if bs:
-                df = self.spark.read.schema(schema).parquet(at)
-                out = out.unionByName(df if len(bs) == self.buckets else df.where(F.col("bucket").isin(bs)))
-        return out
+    def read(self) -> DataFrame:
+        return self.state.read("copies").select("key", "copies", "first")
 
 
 def other_copies(rows: DataFrame, ledger: CopyLedger) -> DataFrame:
@@ -75,8 +59,13 @@ def other_copies(rows: DataFrame, ledger: CopyLedger) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CopyLedger]:
-    rows = materialise(keyed(table(spark, sf_dir, "paired_sp_train").select("line_no", "src", "trg"), "line_no", "src", "trg"), "keys")
-    return rows, CopyLedger(spark, scratch(spark, "ledger")).add(rows)
+    """The keyed rows and the ledger after the batches in the order of load."""
+    lines = table(spark, sf_dir, "paired_sp_train").select("line_no", "src", "trg", "loaded_at")
+    led, parts = CopyLedger(spark, scratch(spark, "ledger")), []
+    for i, batch in enumerate(loads(lines, "loaded_at")):
+        parts.append(materialise(keyed(batch, "line_no", "src", "trg"), "keys"))
+        led.add(f"load {i}", parts[-1])
+    return reduce(DataFrame.unionByName, parts), led
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from spanforge.llm import encoding, format_dups, language, mojibake, one_form, p
 QUERIES = {
     "p1_found": term_counts.p1_found,
     "p1_counts": term_counts.p1_counts,
+    "p1_changes": term_counts.p1_changes,
     "p2_found": language.p2_found,
     "p2_segments": language.p2_segments,
     "p3_found": mojibake.p3_found,
@@ -34,6 +35,8 @@ WITH v AS (SELECT vocab AS term, count(*) AS occurrences, count(DISTINCT export_
      m AS (SELECT 'vocab' AS field, term, occurrences, records, CASE WHEN occurrences = 1 THEN 'rare' WHEN records > 0.4 * n THEN 'common' END AS mark FROM v, e
            UNION ALL SELECT 'trg', term, occurrences, records, CASE WHEN occurrences <= 2 THEN 'rare' WHEN records > 0.02 * n THEN 'common' END FROM t, r)
 """
+_CHANGED = _TERMS.replace("vocab WHERE vocab IS NOT NULL", "vocab WHERE vocab IS NOT NULL AND export_id <> 1").replace("AS n FROM vocab)", "AS n FROM vocab WHERE export_id <> 1)").replace("(trg, '", "(CASE WHEN split = 'dev' THEN lower(trg) ELSE trg END, '").replace(
+    "paired_sp_train WHERE trg IS NOT NULL", "paired_sp_train WHERE trg IS NOT NULL AND split <> 'devtest'").replace("AS n FROM paired_sp_train)", "AS n FROM paired_sp_train WHERE split <> 'devtest')")
 _COPIES = """
 WITH k AS (SELECT line_no, regexp_replace(lower(src), '[^\\p{L}\\p{N}]+', '', 'g') AS x, regexp_replace(lower(trg), '[^\\p{L}\\p{N}]+', '', 'g') AS y FROM paired_sp_train),
      m AS (SELECT line_no, min(line_no) OVER (PARTITION BY least(x, y), greatest(x, y)) AS first_line FROM k WHERE x <> '' AND y <> '')
@@ -50,6 +53,7 @@ ORACLE = {
     "p5_report": _OVERLAP + "SELECT split, source, count(*) AS pairs, count(DISTINCT a) AS eval_rows, count(DISTINCT b) AS train_rows FROM m JOIN paired_sp_train ON a = line_no GROUP BY 1, 2",
     "p1_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_counts": _TERMS + "SELECT field, term, CAST(occurrences AS BIGINT) AS occurrences, CAST(records AS BIGINT) AS records, mark FROM m",
+    "p1_changes": _CHANGED + "SELECT field, term, CAST(occurrences AS BIGINT) AS occurrences, CAST(records AS BIGINT) AS records, mark FROM m",
     "p6_found": _COPIES + "SELECT first_line, line_no FROM m WHERE line_no <> first_line",
     "p6_collapsed": _COPIES + "SELECT first_line AS line_no, count(*) AS copies FROM m GROUP BY 1",
 }

@@ -1,13 +1,15 @@
 """Problem 1: frequency of every distinct value or term, kept by incremental signed deltas.
 
-A change set is a frame (record, terms, sign): `record` identifies the counting unit (a corpus row, an exported
-vocabulary), `terms` is its array of terms, `sign` is +1 for an added and -1 for a deleted record; a changed record is
-its old version at -1 plus its new version at +1.  Only the change set is aggregated; the per-term changes are merged
-into a parquet ledger partitioned by a hash of the term, of which only the touched buckets are rewritten.
+A batch holds added records at +1 and deleted ones at -1; a changed record is its old version at -1 plus its new one at +1.
+Only the batch is aggregated, map-side first; the per-term changes are merged into a persistent ledger (see ledger).  A text
+row is a record of its own.  A record of many rows (an export with its entries) may come in several batches, so its terms are
+kept with their rows in a second table of the ledger, and a record counts for a term when its first row of that term comes and
+no more when its last one goes.
 
 Defined results: null terms are never counted; the empty string is a term of `vocab` (stored values) and never of a text
-(pieces are non-empty); a null `terms` array changes nothing and is no record; repeated rows count as often as they
-occur; ties need no order as marks depend on counts alone; an empty change set leaves the ledger as it is.
+(pieces are non-empty); a null text changes nothing and is no record; an export with null entries only is a record; repeated
+rows count as often as they occur; ties need no order as marks depend on counts alone; an empty batch leaves the counts as they
+are; a batch given twice counts once.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.common import scratch, table
+from spanforge.llm.ledger import Ledger, loads
 
 BLANKS = "[ \\t\\r\\n]+"
-LEDGER = "bucket int, field string, term string, occurrences long, records long"
+TABLES = {
+    "terms": ("field string, term string", {"occurrences": "sum", "records": "sum"}),
+    "members": ("field string, record string, term string", {"n": "sum"}),  # rows of each term of a record; all rows of the record with a null term
+}
 
 
 def pieces(text: Column) -> Column:
@@ -26,85 +32,66 @@ def pieces(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda x: x != "")
 
 
-def text_deltas(rows: DataFrame, text: str, field: str, sign: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(per-term changes, change of the record count) of text rows, each row one record."""
+def text_deltas(rows: DataFrame, text: str, field: str, sign: int = 1) -> DataFrame:
+    """(field, term, occurrences, records): changes by text rows, each row one record; the null term has the records."""
     toks = rows.where(F.col(text).isNotNull()).select(F.sort_array(pieces(F.col(text))).alias("t"))
     first = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get("t", i - 1) != x), F.lit(1)).otherwise(F.lit(0)).alias("r")))
-    each = toks.select(F.explode(first).alias("e")).select("e.*")
-    delta = each.groupBy("term").agg((F.count("*") * sign).alias("d_occ"), (F.sum("r") * sign).alias("d_rec"))
-    total = rows.agg((F.count(text) * sign).alias("d_rec"))
-    return delta.select(F.lit(field).alias("field"), "term", "d_occ", "d_rec"), total.select(F.lit(field).alias("field"), "d_rec")
+    one = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("r")))
+    each = toks.select(F.explode(F.concat(first, one)).alias("e")).select("e.*")
+    return each.groupBy("term").agg((F.count("*") * sign).alias("occurrences"), (F.sum("r") * sign).alias("records")).select(F.lit(field).alias("field"), "term", "occurrences", "records")
 
 
-def group_deltas(rows: DataFrame, record: str, term: str, field: str, sign: int = 1) -> tuple[DataFrame, DataFrame]:
-    """The same for records of many rows (an export with its entries): two-level aggregation, so a record of any size is split by term."""
-    pair = rows.groupBy(F.col(record).alias("record"), F.col(term).alias("term")).agg(F.count("*").alias("n"))
-    delta = pair.where("term is not null").groupBy("term").agg((F.sum("n") * sign).alias("d_occ"), (F.count("*") * sign).alias("d_rec"))
-    total = rows.agg((F.count_distinct(record) * sign).alias("d_rec"))
-    return delta.select(F.lit(field).alias("field"), "term", "d_occ", "d_rec"), total.select(F.lit(field).alias("field"), "d_rec")
+def member_deltas(rows: DataFrame, record: str, term: str, field: str, sign: int = 1) -> DataFrame:
+    """(field, record, term, n): changes by records of many rows; the null term has all rows of a record."""
+    r, t = F.col(record).cast("string").alias("record"), F.col(term).alias("term")
+    g = rows.select(r, t).groupBy("record", "term").agg((F.count("*") * sign).alias("n")).where("record is not null")
+    both = g.where("term is not null").unionByName(g.groupBy("record").agg(F.lit(None).cast("string").alias("term"), F.sum("n").alias("n")))
+    return both.select(F.lit(field).alias("field"), "record", "term", "n")
 
 
 class TermLedger:
-    """Persistent counts in `path`: one parquet folder per version and bucket; `apply` rewrites touched buckets only."""
+    """Persistent counts in the folder `path`, opened again if it exists."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        buckets = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))  # grows with the job
-        self.spark, self.path, self.buckets, self.version = spark, path, buckets, 0
-        self.live: dict[int, str] = {}
-        self.sums: dict[str, int] = {}
-
-    def apply(self, deltas: list[DataFrame], totals: list[DataFrame]) -> TermLedger:
-        change = deltas[0]
-        for d in deltas[1:]:
-            change = change.unionByName(d)
-        change = change.withColumn("bucket", F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int"))
-        self.version += 1
-        at = f"{self.path}/v{self.version}"
-        if not self.live:
-            merged = change.select("bucket", "field", "term", F.col("d_occ").alias("occurrences"), F.col("d_rec").alias("records"))
-            touched = None
-        else:
-            change = change.groupBy("bucket", "field", "term").agg(F.sum("d_occ").alias("d_occ"), F.sum("d_rec").alias("d_rec"))
-            tmp = f"{self.path}/delta{self.version}"
-            change.write.parquet(tmp)
-            change = self.spark.read.parquet(tmp)
-            touched = [r[0] for r in change.select("bucket").distinct().collect()]  # at most `buckets` values
-            old = self.read(touched)
-            merged = (
-                old.join(change, ["bucket", "field", "term"], "full_outer")
-                .select(
-                    "bucket", "field", "term",
-                    (F.coalesce("occurrences", F.lit(0)) + F.coalesce("d_occ", F.lit(0))).alias("occurrences"),
-                    (F.coalesce("records", F.lit(0)) + F.coalesce("d_rec", F.lit(0))).alias("records"),
-                )
-                .where("occurrences <> 0 or records <> 0")
-            )
-        merged.repartition(min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").write.partitionBy("bucket").parquet(at)
-        for b in touched if touched is not None else range(self.buckets):
-            self.live[b] = f"{at}/bucket={b}"
-        for t in totals:
-            for r in t.collect():  # one row per field
-                self.sums[r["field"]] = self.sums.get(r["field"], 0) + (r["d_rec"] or 0)
+        self.state = Ledger(spark, path, TABLES, buckets)
+
+    @property
+    def sums(self) -> dict[str, int]:
+        """Number of records of each field."""
+        return self.state.totals
+
+    def apply(self, batch: str, texts: list[DataFrame] = (), members: list[DataFrame] = ()) -> TermLedger:
+        """Merges the changes of a batch; a batch that was applied before is left out."""
+        if self.state.applied(batch):
+            return self
+        changes = list(texts)
+        if members:
+            got = self._union(list(members))
+            m = self.state.merge("members", got).where("n <> was_n")
+            come = F.when((F.col("n") > 0) & (F.col("was_n") <= 0), 1).when((F.col("n") <= 0) & (F.col("was_n") > 0), -1).otherwise(0)
+            changes.append(m.groupBy("field", "term").agg(F.sum(F.col("n") - F.col("was_n")).alias("occurrences"), F.sum(come).cast("long").alias("records")))
+        got = self.state.merge("terms", self._union(changes))
+        totals = {r["field"]: r["records"] - r["was_records"] for r in got.where("term is null").collect()}  # one row a field
+        self.state.commit(batch, totals)
         return self
 
-    def read(self, only: list[int] | None = None) -> DataFrame:
-        """All counts, or those of some buckets."""
-        versions: dict[str, list[int]] = {}
-        for b, p in self.live.items():
-            if only is None or b in only:
-                versions.setdefault(p.rpartition("/")[0], []).append(b)
-        out = self.spark.createDataFrame([], LEDGER)
-        for at, bs in versions.items():
-            df = self.spark.read.schema(LEDGER).parquet(at)
-            out = out.unionByName(df.where(F.col("bucket").isin(bs)) if len(bs) < self.buckets else df)
+    @staticmethod
+    def _union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
         return out
 
+    def read(self) -> DataFrame:
+        """(field, term, occurrences, records) of all terms there are."""
+        return self.state.read("terms").where("term is not null and (occurrences <> 0 or records <> 0)").select("field", "term", "occurrences", "records")
+
     def marked(self, rare: dict[str, int], common: dict[str, float]) -> DataFrame:
         """Counts with mark 'rare' (at most rare[field] occurrences), 'common' (in more than common[field] of the records), else null."""
         mark = F.lit(None).cast("string")
         for f in rare:
             mark = F.when((F.col("field") == f) & (F.col("occurrences") <= rare[f]), "rare").when((F.col("field") == f) & (F.col("records") > common[f] * self.sums.get(f, 0)), "common").otherwise(mark)
-        return self.read().drop("bucket").withColumn("mark", mark)
+        return self.read().withColumn("mark", mark)
 
 
 RARE = {"vocab": 1, "trg": 2}
@@ -112,10 +99,13 @@ COMMON = {"vocab": 0.4, "trg": 0.02}
 
 
 def corpus_ledger(spark: SparkSession, sf_dir: str) -> TermLedger:
-    """Both fields of the project's data as one added change set on an empty ledger."""
-    v = group_deltas(table(spark, sf_dir, "vocab").select("export_id", "vocab"), "export_id", "vocab", "vocab")
-    t = text_deltas(table(spark, sf_dir, "paired_sp_train").select("trg"), "trg", "trg")
-    return TermLedger(spark, scratch(spark, "terms")).apply([v[0], t[0]], [v[1], t[1]])
+    """Both fields of the project's data, merged in two batches in the order of export and load."""
+    led = TermLedger(spark, scratch(spark, "terms"))
+    vocab = loads(table(spark, sf_dir, "vocab").select("export_id", "vocab", "exported_at"), "exported_at")
+    lines = loads(table(spark, sf_dir, "paired_sp_train").select("trg", "loaded_at"), "loaded_at")
+    for i in range(max(len(vocab), len(lines))):
+        led.apply(f"load {i}", [text_deltas(x, "trg", "trg") for x in lines[i : i + 1]], [member_deltas(x, "export_id", "vocab", "vocab") for x in vocab[i : i + 1]])
+    return led
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,3 +114,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_ledger(spark, sf_dir).marked(RARE, COMMON).select("field", "term", "occurrences", "records", "mark")
+
+
+def p1_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts after a third batch that takes the devtest rows and the first export out and corrects the dev rows to lower case."""
+    led = corpus_ledger(spark, sf_dir)
+    rows = table(spark, sf_dir, "paired_sp_train").select("split", "trg")
+    dev = rows.where("split = 'dev'")
+    gone = table(spark, sf_dir, "vocab").where("export_id = 1")
+    changes = [text_deltas(rows.where("split in ('dev', 'devtest')"), "trg", "trg", -1), text_deltas(dev.select(F.lower("trg").alias("trg")), "trg", "trg")]
+    led.apply("held out", changes, [member_deltas(gone, "export_id", "vocab", "vocab", -1)])
+    return led.marked(RARE, COMMON).select("field", "term", "occurrences", "records", "mark")

@@ -14,32 +14,45 @@ def counts(led):
 
 def test_deltas_add_change_delete(spark):
     a = spark.createDataFrame([("x y x",), ("y\t z  z ",), (None,), ("",), (" \n",), ("a\u00a0b",)], "t string")
-    led = T.TermLedger(spark, scratch(spark, "t"), 4)
-    d, n = T.text_deltas(a, "t", "t")
-    led.apply([d], [n])
+    path = scratch(spark, "t")
+    led = T.TermLedger(spark, path, 4).apply("1", [T.text_deltas(a, "t", "t")])
     assert counts(led) == {("t", "x"): (2, 1), ("t", "y"): (2, 2), ("t", "z"): (2, 1), ("t", "a\u00a0b"): (1, 1)} and led.sums == {"t": 5}
     old = spark.createDataFrame([("x y x",)], "t string")
     new = spark.createDataFrame([("x q",)], "t string")
-    d0, n0 = T.text_deltas(old, "t", "t", -1)
-    d1, n1 = T.text_deltas(new, "t", "t")
-    led.apply([d0, d1], [n0, n1])
-    assert counts(led) == {("t", "x"): (1, 1), ("t", "y"): (1, 1), ("t", "z"): (2, 1), ("t", "a\u00a0b"): (1, 1), ("t", "q"): (1, 1)} and led.sums == {"t": 5}
-    led.apply([T.text_deltas(a.limit(0), "t", "t")[0]], [])
-    assert len(counts(led)) == 5
+    led = T.TermLedger(spark, path)  # opened again
+    assert led.state.buckets == 4 and led.sums == {"t": 5}
+    led.apply("2", [T.text_deltas(old, "t", "t", -1), T.text_deltas(new, "t", "t")])
+    want = {("t", "x"): (1, 1), ("t", "y"): (1, 1), ("t", "z"): (2, 1), ("t", "a\u00a0b"): (1, 1), ("t", "q"): (1, 1)}
+    assert counts(led) == want and led.sums == {"t": 5}
+    led.apply("3", [T.text_deltas(a.limit(0), "t", "t")])
+    again = T.TermLedger(spark, path).apply("2", [T.text_deltas(new, "t", "t")])  # a batch given twice
+    assert counts(again) == want and again.sums == {"t": 5}
+
+
+def test_a_failed_batch_leaves_no_trace(spark):
+    path = scratch(spark, "t")
+    a = spark.createDataFrame([("x y",)], "t string")
+    led = T.TermLedger(spark, path, 2).apply("1", [T.text_deltas(a, "t", "t")])
+    led.state.merge("terms", T.text_deltas(a, "t", "t"))  # staged and never committed
+    led = T.TermLedger(spark, path)
+    assert counts(led) == {("t", "x"): (1, 1), ("t", "y"): (1, 1)}
+    assert counts(led.apply("2", [T.text_deltas(a, "t", "t")])) == {("t", "x"): (2, 2), ("t", "y"): (2, 2)}
 
 
 def test_group_records_and_marks(spark):
-    v = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "a"), (2, "b"), (3, "c"), (3, "")], "e int, v string")
-    d, n = T.group_deltas(v, "e", "v", "vocab")
-    led = T.TermLedger(spark, scratch(spark, "t"), 2).apply([d], [n])
-    assert counts(led)[("vocab", "a")] == (3, 2) and ("vocab", "") in counts(led) and led.sums == {"vocab": 3}
-    marks = {r.term: r.mark for r in led.marked({"vocab": 1}, {"vocab": 0.4}).collect()}
-    assert marks == {"a": "common", "b": "rare", "c": "rare", "": "rare"}
+    v = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "a"), (2, "b"), (3, "c"), (3, ""), (4, None)], "e int, v string")
+    of = lambda rows, sign=1: T.member_deltas(rows, "e", "v", "vocab", sign)
+    led = T.TermLedger(spark, scratch(spark, "t"), 2).apply("1", [], [of(v.where("e < 3"))])
+    led.apply("2", [], [of(v.where("e >= 3")), of(v.where("e = 1"))])  # the first record comes in two batches
+    assert counts(led) == {("vocab", "a"): (5, 2), ("vocab", "b"): (1, 1), ("vocab", "c"): (1, 1), ("vocab", ""): (1, 1)} and led.sums == {"vocab": 4}
+    led.apply("3", [], [of(v.where("e = 1"), -1), of(v.where("e = 2"), -1)])
+    assert counts(led) == {("vocab", "a"): (2, 1), ("vocab", "c"): (1, 1), ("vocab", ""): (1, 1)} and led.sums == {"vocab": 3}
+    marks = {r.term: r.mark for r in led.marked({"vocab": 1}, {"vocab": 0.3}).collect()}
+    assert marks == {"a": "common", "c": "rare", "": "rare"}
 
 
 def test_empty_first_batch(spark):
-    d, n = T.text_deltas(spark.createDataFrame([], "t string"), "t", "t")
-    led = T.TermLedger(spark, scratch(spark, "t"), 2).apply([d], [n])
+    led = T.TermLedger(spark, scratch(spark, "t"), 2).apply("1", [T.text_deltas(spark.createDataFrame([], "t string"), "t", "t")])
     assert counts(led) == {}
 
 
@@ -49,10 +62,10 @@ ROWS = [(1, "Ab, c", "X y"), (2, "abc", "xy"), (3, "XY!", "a b c"), (4, None, "q
 def test_copies(spark):
     rows = spark.createDataFrame([(*r, "z") for r in ROWS], "line_no long, src string, trg string, id string")
     k = D.keyed(rows, "line_no", "src", "trg")
-    led = D.CopyLedger(spark, scratch(spark, "c"), 4).add(k)
+    led = D.CopyLedger(spark, scratch(spark, "c"), 4).add("1", k)
     assert {tuple(r) for r in D.other_copies(k, led).collect()} == {(1, 2), (1, 3), (1, 7)}
     more = D.keyed(spark.createDataFrame([(0, "ABC", "XY"), (9, "new", "one")], "line_no long, src string, trg string"), "line_no", "src", "trg")
-    led.add(more)
+    led = D.CopyLedger(spark, led.state.path).add("2", more).add("1", k)  # opened again; the first batch once more
     got = {(r.first, r.copies) for r in led.read().collect()}
     assert got == {(0, 5), (6, 1), (9, 1)}
 
@@ -60,11 +73,11 @@ def test_copies(spark):
 def test_hot_copies(spark):
     rows = spark.range(3000).selectExpr("id as line_no", "case when id % 3 = 0 then 'same' else concat('t', id) end as src", "'y' as trg")
     k = D.keyed(rows, "line_no", "src", "trg")
-    got = D.other_copies(k, D.CopyLedger(spark, scratch(spark, "c"), 4).add(k))
+    got = D.other_copies(k, D.CopyLedger(spark, scratch(spark, "c"), 4).add("1", k))
     assert got.count() == 999 and got.select("first_line").distinct().first()[0] == 0
     wide = spark.range(900_000).selectExpr("id as line_no", "case when id % 3 = 0 then 'same' when id % 9 = 1 then concat('p', floor(id / 18)) else concat('t', id) end as src", "'y' as trg")
     k = D.keyed(wide, "line_no", "src", "trg")
-    a = D.other_copies(k, D.CopyLedger(spark, scratch(spark, "c"), 4).add(k))
+    a = D.other_copies(k, D.CopyLedger(spark, scratch(spark, "c"), 4).add("1", k))
     assert a.count() == 299_999 + 50_000
 
 
