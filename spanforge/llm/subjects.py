@@ -1,47 +1,51 @@
 """Problem 9: subject areas of each document, in whatever language.
 
-Anchored non-negative factorisation.  The document-term matrix is factored as W H with one component for each subject and
-one for everything else.  H is seeded from the documents that annotators labelled (what a term occurs there beyond what
-chance gives) and W and H are then updated in turn by the multiplicative rule of the Kullback-Leibler loss over all
-documents, so that terms nobody labelled take the subject of the documents they stand in.  The share of a term that each
-component explains is read off directly; a sentence is about the subject its terms speak for most, and a document about
-the subjects of at least a fifth of its sentences.
+Anchored non-negative factorisation.  The document-term matrix is factored as W H with one component for each subject and one
+for everything else.  H is seeded from the documents that annotators labelled and W and H are then updated in turn over all
+documents: W by the multiplicative rule of the Kullback-Leibler loss with H fixed, H by the subject mixture of the documents
+that a term stands in (leaning to the part the term has already), so terms nobody labelled take their subject from their documents.  The anchor holds in every round: a
+component gets of a term what its share exceeds the subject's share of the labels by (LEAN of the rest of the way to 1), and
+everything else gets the remainder, so words of no subject and the words of one language stay outside, however frequent they are.
 
-Only terms enter that are neither everywhere nor spread evenly: at least SHARE of all tokens (so at most 1 / SHARE terms,
-whatever the input), in at most MOST_DOCS of the documents, and bursty (more often in a document that has them than once).
-An iteration moves one row per term and task.
+Every term of every document takes part; rare terms are drawn to the common shares (PRIOR occurrences), none is cut.  Terms
+are 64-bit hashes, so there is no vocabulary to hold; only terms with a part in some subject are handed to the workers, as
+long as a count proves at most MAX_ACTIVE of them, and are joined beyond.  Terms without such a part are alike for W and enter
+it as one number a document.  Rounds end when the parts change by less than SETTLED in all (at most MAX_ROUNDS).
 
-Seeds are taken from at most MAX_LABELLED labelled documents, chosen by hash (a documented bound on fitting); term counts,
-factorisation and result cover all documents.
+The result is read off W: with H fixed, each sentence's W says what part of it each subject explains; a sentence is about the
+subject with the largest part if that comes to at least half a term, and a document about the subjects of at least a fifth of
+its sentences.
+
+Seeds are taken from at most MAX_LABELLED labelled documents, chosen by hash (a documented bound on fitting); factorisation
+and result cover all documents.
 
 Defined results: null, empty and blank texts and texts without sentences (LEAST_WORDS words) have no subject; unknown,
 null and oddly spelled labels are trimmed and lower-cased or left out; repeated labels count once; ties go to the subject
-first in the alphabet; repeated rows come out each; without labels no document has a subject.
+first in the alphabet; repeated rows come out each; without labels, or with a single subject, no document has a subject.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.common import materialise, ship, table
-from spanforge.llm.mojibake import ALPHABETS
+from spanforge.llm import npwords
 
-SHARE = 1e-5
-MOST_DOCS = 0.03
-BURST = 1.15
 LEAST_WORDS = 4
 LEAST_PART = 0.2
 MAX_LABELLED = 200_000
-ITERATIONS, INNER = 8, 6
-SMOOTH = 0.02
-FLUSH = 400_000
+LEAN = 0.35
+PRIOR = 4.0
+SETTLED, MAX_ROUNDS, INNER = 0.01, 10, 6
+OWN = 0.3
+FLOOR, OTHER = 1e-4, 0.02  # least part of a term that a subject and everything else has
+MAX_ACTIVE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?]+(?=\s|$|[\"»”“)])|[\r\n]+|\|\|\|")
 
@@ -61,89 +65,29 @@ def labels(subject_labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, l
     return (ks if n <= MAX_LABELLED else ks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * MAX_LABELLED / n * 0.98))), names
 
 
-def term_stats(docs: DataFrame, ks: DataFrame, n_subjects: int) -> DataFrame:
-    """(term, cf, df, nl, l0..): occurrences, documents, labelled documents and label weight of each term; the term '' has the totals."""
-    joined = docs.select("doc_id", "text").join(F.broadcast(ks), "doc_id", "left").where("text is not null").select("text", "ks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cf, df, nl, lab = Counter(), Counter(), Counter(), {}
-
-        def flush() -> pa.RecordBatch:
-            terms = list(cf)
-            weights = np.array([lab.get(t, zero) for t in terms]).reshape(len(terms), n_subjects)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), *(pa.array([float(c[t]) for t in terms]) for c in (cf, df, nl)), *(pa.array(weights[:, k]) for k in range(n_subjects))],
-                names=["term", "cf", "df", "nl", *(f"l{k}" for k in range(n_subjects))])
-            for c in (cf, df, nl, lab):
-                c.clear()
-            return out
-
-        zero = np.zeros(n_subjects)
-        for b in batches:
-            for text, ks_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = [w for s in sentences(text) for w in s]
-                if not words:
-                    continue
-                c = Counter(words)
-                cf.update(c)
-                df.update(c.keys())
-                cf[""] += len(words)
-                df[""] += 1
-                if ks_:
-                    w = zero.copy()
-                    w[ks_] = 1 / len(ks_)
-                    for t in [*c, ""]:
-                        nl[t] += 1
-                        lab[t] = lab[t] + w if t in lab else w
-                if len(cf) > FLUSH:
-                    yield flush()
-        if cf:
-            yield flush()
-
-    cols = ["cf", "df", "nl", *(f"l{k}" for k in range(n_subjects))]
-    parts = joined.mapInArrow(run, "term string, " + ", ".join(f"{c} double" for c in cols))
-    return parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in cols])
-
-
-def seeds(stats: DataFrame, n_subjects: int) -> tuple[list[str], np.ndarray]:
-    """Vocabulary (at most 1 / SHARE terms) and seeded H, components by terms, the last one for everything else."""
-    total = stats.where("term = ''").first()
-    if total is None:
-        return [], np.zeros((n_subjects + 1, 0))
-    own = "|".join(f"[{'a-z' if lang != 'ukr' else ''}{letters}]+" for lang, letters in ALPHABETS.items())
-    rows = stats.where(
-        (F.col("cf") >= SHARE * total["cf"]) & (F.col("df") >= 2) & (F.col("df") <= max(2.0, MOST_DOCS * total["df"])) & (F.col("cf") >= BURST * F.col("df")) & (F.length("term") > 1) & F.col("term").rlike(f"^(?:{own})$")
-    ).orderBy("term").collect()
-    label = np.array([[r[f"l{k}"] for k in range(n_subjects)] for r in rows]).reshape(len(rows), n_subjects).T
-    cf, nl = np.array([r["cf"] for r in rows]), np.array([r["nl"] for r in rows])
-    prior = np.array([total[f"l{k}"] for k in range(n_subjects)])
-    chance = prior[:, None] / max(prior.sum(), 1e-9) * nl
-    excess = np.maximum(0, label - chance - np.sqrt(chance) - 0.25) / (nl + 0.5) * cf
-    anchored = np.clip(excess.sum(axis=0) / np.maximum(cf, 1e-9), 0, 1)
-    h = np.vstack([excess + SMOOTH * cf / max(n_subjects, 1), cf * (1 - anchored) + 1e-9])
-    return [r["term"] for r in rows], h / np.maximum(h.sum(axis=1, keepdims=True), 1e-30)
-
-
-def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(doc_id, n, terms, sent): sentences of each document, the vocabulary terms in it and the sentence of each."""
-    ix = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+def tokenise(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, sent, terms): sentences of each document, and the sentence and hash of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ix.value
         for b in batches:
-            ids, n, terms, sent = [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                got = sentences(text)
-                if got:
-                    hits = [(known[w], j) for j, s in enumerate(got) for w in s if w in known]
-                    ids.append(i)
-                    n.append(len(got))
-                    terms.append([h[0] for h in hits])
-                    sent.append([h[1] for h in hits])
-            at = b.column(0).take(pa.array(ids, pa.int64()))
-            yield pa.RecordBatch.from_arrays([at, pa.array(n, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(sent, pa.list_(pa.int32()))], names=["doc_id", "n", "terms", "sent"])
+            got = [sentences(t) for t in b.column(1).to_pylist()]
+            rows = np.array([i for i, s in enumerate(got) if s], np.int64)
+            words = [w for s in got for x in s for w in x]
+            if not words:
+                continue
+            codes = npwords.joined(words, lower=False)
+            end = np.flatnonzero(codes == 0)
+            begin = np.append(0, end[:-1] + 1)
+            power = np.cumprod(np.full(int((end - begin).max()) + 1, npwords.MULT, np.uint64))
+            h = npwords.mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(codes)) - np.repeat(begin, end - begin + 1)], begin))
+            sizes = [len(x) for s in got for x in s]
+            sent = np.repeat(np.array([j for s in got for j in range(len(s))], np.int32), sizes)
+            offsets = pa.array(np.append(0, np.cumsum([sum(map(len, got[i])) for i in rows])).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(rows)), pa.array([len(got[i]) for i in rows], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(sent)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))],
+                names=["doc_id", "n", "sent", "terms"])
 
-    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, n int, terms array<int>, sent array<int>")
+    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, n int, sent array<int>, terms array<long>")
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,41 +96,169 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(col)), n), col.flatten().to_numpy(zero_copy_only=False)
 
 
-def explained(doc: np.ndarray, term: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Share of each entry that every component explains, with W fitted to H by INNER multiplicative updates."""
-    begin = np.flatnonzero(np.diff(doc, prepend=-1))
-    rep = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(doc))))
-    ht = h.T[term]
-    w = np.full((len(begin), h.shape[0]), 1 / h.shape[0])
-    for _ in range(INNER):
-        r = w[rep] * ht
-        r /= r.sum(axis=1, keepdims=True) + 1e-30
-        w = np.add.reduceat(r, begin, axis=0)
-        w /= w.sum(axis=1, keepdims=True) + 1e-30
-    return r
+def _sums(terms: np.ndarray, values: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    """(term, n, c0..): number of entries and sum of their values (one row each) by term, and a row without a term of extra = (n, c0..)."""
+    at, inv = np.unique(terms, return_inverse=True)
+    cols = [np.bincount(inv, minlength=len(at)), *(np.bincount(inv, values[:, k], len(at)) for k in range(values.shape[1]))]
+    arrays = [pa.array([*at.tolist(), None], pa.int64()), *(pa.array(np.append(c, x), pa.float64()) for c, x in zip(cols, extra))]
+    return pa.RecordBatch.from_arrays(arrays, names=["term", "n", *(f"c{k}" for k in range(values.shape[1]))])
+
 
+def _sum_schema(k: int) -> str:
+    return "term long, n double, " + ", ".join(f"c{i} double" for i in range(k))
 
-def update(vecs: DataFrame, h: np.ndarray) -> np.ndarray:
-    """One alternation over all documents: terms by components, what each component explains of each term."""
-    k, v = h.shape
-    shared = vecs.sparkSession.sparkContext.broadcast(h)
+
+def seeds(tokens: DataFrame, ks: DataFrame, k: int) -> DataFrame:
+    """(term, n, c0..) over the labelled documents: how many hold a term, and how many of those each subject has (a document of several subjects is divided)."""
+    labelled = tokens.join(F.broadcast(ks), "doc_id").select("terms", "ks")  # at most MAX_LABELLED rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = shared.value, np.zeros((v, k))
         for b in batches:
+            if not b.num_rows:
+                continue
+            m = np.zeros((b.num_rows, k))
+            for i, of in enumerate(b.column(1).to_pylist()):
+                m[i, of] = 1 / len(of)
             doc, term = _flat(b.column(0))
-            if len(doc):
-                r = explained(doc, term, now)
-                for c in range(k):
-                    total[:, c] += np.bincount(term, r[:, c], v)
-        at = np.flatnonzero(total.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, c]) for c in range(k))], names=["t", *(f"c{c}" for c in range(k))])
+            order = np.lexsort((term, doc))
+            doc, term = doc[order], term[order]
+            once = np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))[: len(doc)]
+            yield _sums(term[once], m[doc[once]], np.append(b.num_rows, m.sum(axis=0)))
+
+    return labelled.mapInArrow(run, _sum_schema(k))
+
+
+def parts(sums: DataFrame, k: int, prior: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """((term, n, p0..), shares of the subjects): the part of each term that each subject gets, for terms that have any; the shares of the labels stay the measure."""
+    sums = materialise(sums.groupBy("term").agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]), "terms")
+    if prior is None:
+        all_ = sums.where("term is null").first()  # one row
+        prior = np.array([all_[f"c{i}"] for i in range(k)]) / max(all_["n"], 1e-9) if all_ else np.zeros(k)
+
+    def part(i: int) -> Column:
+        least = prior[i] + LEAN * (1 - prior[i])
+        share = (F.col(f"c{i}") + PRIOR * float(prior[i])) / (F.col("n") + PRIOR)
+        return F.greatest((share - float(least)) / float(1 - least), F.lit(0.0)) if least < 1 else F.lit(0.0)
+
+    out = sums.where("term is not null").select("term", "n", *[part(i).alias(f"p{i}") for i in range(k)])
+    return materialise(out.where(" or ".join(f"p{i} > 0" for i in range(k))), "parts"), prior
+
+
+class Components:
+    """H in the form the workers need: the ratio of every component for each term with a part in a subject, and for all others."""
+
+    def __init__(self, terms: np.ndarray, n: np.ndarray, p: np.ndarray, tokens: float):
+        order = np.argsort(terms)
+        self.terms, p, n = terms[order], p[order], n[order]
+        other = np.maximum(1 - p.sum(axis=1), OTHER)
+        mass = np.append(((p + FLOOR) * n[:, None]).sum(axis=0) + FLOOR * max(tokens - n.sum(), 0), (other * n).sum() + max(tokens - n.sum(), 0) + 1e-9)
+        self.mass = mass
+        self.u = np.hstack([p + FLOOR, other[:, None]]) / mass
+        self.rest = np.append(np.full(p.shape[1], FLOOR), 1.0) / mass
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Place of each term, -1 for one without a part in a subject."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+
+def mixtures(row: np.ndarray, u: np.ndarray, rest_u: np.ndarray, size: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, W): the mixture of each row that has terms with a part in a subject; `row` and `u` are the sorted row and the ratios of each such term, size the terms of all rows."""
+    if not len(row):
+        return np.empty(0, np.int64), np.empty((0, len(rest_u)))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    count = np.diff(np.append(first, len(row)))
+    rep = np.repeat(np.arange(len(first)), count)
+    at = row[first]
+    rest = (size[at] - count)[:, None]
+    w = np.full((len(first), len(rest_u)), 1 / len(rest_u))
+    for _ in range(rounds):
+        r = w[rep] * u
+        r /= r.sum(axis=1, keepdims=True)
+        o = w * rest_u
+        w = np.add.reduceat(r, first, axis=0) + rest * o / o.sum(axis=1, keepdims=True)
+        w /= w.sum(axis=1, keepdims=True)
+    return at, w
+
+
+def _with_ratios(tokens: DataFrame, active: DataFrame, k: int, total: float) -> tuple[DataFrame, object | None]:
+    """(tokens with a column `known`, components for the workers): where there are too many active terms for a broadcast, each
+    document gets the parts of its own terms by a join and builds the components from them and the totals."""
+    n = active.limit(MAX_ACTIVE + 1).count()
+    if n <= MAX_ACTIVE:
+        rows = active.collect()  # at most MAX_ACTIVE, counted above
+        p = np.array([[r[f"p{i}"] for i in range(k)] for r in rows]).reshape(len(rows), k)
+        h = Components(np.array([r["term"] for r in rows], np.int64), np.array([r["n"] for r in rows]), p, total)
+        return tokens.withColumn("known", F.lit(None).cast("array<struct<term:bigint,u:array<double>>>")), tokens.sparkSession.sparkContext.broadcast(h)
+    other = F.greatest(1 - sum(F.col(f"p{i}") for i in range(k)), F.lit(OTHER))
+    mass = active.agg(F.sum("n").alias("n"), *[F.sum((F.col(f"p{i}") + FLOOR) * F.col("n")).alias(f"m{i}") for i in range(k)], F.sum(other * F.col("n")).alias("mo")).first()
+    left = max(total - mass["n"], 0)
+    m = np.array([*(mass[f"m{i}"] + FLOOR * left for i in range(k)), mass["mo"] + left + 1e-9])
+    u = F.array(*[(F.col(f"p{i}") + FLOOR) / float(m[i]) for i in range(k)], other / float(m[k]))
+    h = Components(np.empty(0, np.int64), np.empty(0), np.empty((0, k)), total)
+    h.mass, h.rest = m, np.append(np.full(k, FLOOR), 1.0) / m
+    numbered = materialise(tokens.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    own = numbered.select("_row", F.explode(F.array_distinct("terms")).alias("term")).join(active.select("term", u.alias("u")), "term")
+    own = own.groupBy("_row").agg(F.collect_list(F.struct("term", "u")).alias("known"))  # terms of one document
+    return numbered.join(own, "_row", "left").drop("_row"), tokens.sparkSession.sparkContext.broadcast(h)
+
+
+def _ratios(h: Components, doc: np.ndarray, term: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(entries with a part in a subject, their ratios)."""
+    if known.null_count == len(known):
+        at = h.find(term)
+        hit = np.flatnonzero(at >= 0)
+        return hit, h.u[at[hit]]
+    pairs = {(i, e["term"]): e["u"] for i, of in enumerate(known.to_pylist()) for e in of or ()}
+    hit = np.array([j for j, x in enumerate(zip(doc.tolist(), term.tolist())) if x in pairs], np.int64)
+    return hit, np.array([pairs[x] for x in zip(doc[hit].tolist(), term[hit].tolist())]).reshape(len(hit), len(h.rest))
+
+
+def update(tokens: DataFrame, active: DataFrame, k: int, total: float) -> DataFrame:
+    """(term, n, c0..) over all documents: W with H fixed, then the subject mixture of its documents for every term."""
+    rows, shared = _with_ratios(tokens, active, k, total)
 
-    parts = vecs.select("terms").mapInArrow(run, "t int, " + ", ".join(f"c{c} double" for c in range(k)))
-    out = np.zeros((v, k))
-    for r in parts.groupBy("t").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)]).collect():  # one row per vocabulary term
-        out[r[0]] = r[1:]
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = shared.value
+        for b in batches:
+            doc, term = _flat(b.column(0))
+            if not len(doc):
+                continue
+            hit, u = _ratios(h, doc, term, b.column(1))
+            size = np.bincount(doc, minlength=b.num_rows)
+            at, w = mixtures(doc[hit], u, h.rest, size, INNER)
+            says = w[:, :k].sum(axis=1) * size[at] >= 0.5
+            at, w = at[says], w[says, :k]
+            m = np.zeros((b.num_rows, k))
+            m[at] = w / w.sum(axis=1, keepdims=True)
+            use = np.zeros(b.num_rows, bool)
+            use[at] = True
+            each = m[doc]
+            each[hit] *= u[:, :k] * h.mass[:k] + OWN  # a term with a part of its own leans to it within its document
+            mine = np.flatnonzero(use[doc])
+            each = each[mine]
+            yield _sums(term[mine], each / each.sum(axis=1, keepdims=True), np.append(len(at), m.sum(axis=0)))
+
+    return rows.select("terms", "known").mapInArrow(run, _sum_schema(k))
+
+
+def factored(tokens: DataFrame, ks: DataFrame, k: int) -> tuple[DataFrame, float, list[float]]:
+    """(parts, number of terms in all, change in each round): H after the rounds."""
+    total = float(tokens.agg(F.sum(F.size("terms"))).first()[0] or 0)
+    active, prior = parts(seeds(tokens, ks, k), k)
+    changes: list[float] = []
+    while len(changes) < MAX_ROUNDS:
+        new, _ = parts(update(tokens, active, k, total), k, prior)
+        zero = lambda side, i: F.coalesce(f"{side}.p{i}", F.lit(0.0))
+        both = active.alias("a").join(new.alias("b"), "term", "full_outer")
+        d = both.agg(sum(F.sum(F.abs(zero("a", i) - zero("b", i))) for i in range(k)).alias("d"), sum(F.sum(zero("a", i)) for i in range(k)).alias("s")).first()
+        changes.append((d["d"] or 0.0) / max(d["s"] or 0.0, 1e-9))
+        active = new
+        if changes[-1] < SETTLED:
+            break
+    return active, total, changes
 
 
 def shares(docs: DataFrame, subject_labels: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -195,35 +267,33 @@ def shares(docs: DataFrame, subject_labels: DataFrame, subjects: DataFrame) -> D
     ship(spark)
     ks, names = labels(subject_labels, subjects)
     k = len(names)
-    vocabulary, h = seeds(materialise(term_stats(docs, ks, k), "terms"), k) if k else ([], np.zeros((1, 0)))
-    vecs = materialise(vectors(docs, vocabulary), "vectors")
-    seen = np.zeros((len(vocabulary), k + 1))
-    for _ in range(ITERATIONS if vocabulary else 0):
-        seen = update(vecs, h)
-        h = (seen.T + 1e-9) / (seen.T + 1e-9).sum(axis=1, keepdims=True)
-    speaks = seen[:, :k] / np.maximum(seen.sum(axis=1, keepdims=True), 1e-12)
-    if k:
-        speaks[speaks.max(axis=1, initial=0) <= 0.5] = 0
-    shared = spark.sparkContext.broadcast(speaks)
+    schema = "doc_id long, sentences int, subject string, part double"
+    if k < 2:
+        return spark.createDataFrame([], schema)
+    tokens = materialise(tokenise(docs), "tokens")
+    active, total, _ = factored(tokens, ks, k)
+    rows, shared = _with_ratios(tokens, active, k, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
+        h = shared.value
         for b in batches:
-            doc, term = _flat(b.column(2))
-            _, sent = _flat(b.column(3))
-            if not len(doc) or not k:
+            doc, term = _flat(b.column(3))
+            if not len(doc):
                 continue
-            key = doc.astype(np.int64) << 32 | sent
-            begin = np.flatnonzero(np.diff(key, prepend=-1))
-            says = np.add.reduceat(s[term], begin, axis=0)
-            about = np.where(says.max(axis=1) > 0.5, says.argmax(axis=1), -1)
-            row = doc[begin][about >= 0]
-            pair, count = np.unique(row * k + about[about >= 0], return_counts=True)
+            sent = _flat(b.column(2))[1]
+            key = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (sent[1:] != sent[:-1])))  # sentences of the batch
+            hit, u = _ratios(h, doc, term, b.column(4))
+            size = np.bincount(key)
+            at, w = mixtures(key[hit], u, h.rest, size, 2 * INNER)
+            best = w[:, :k].argmax(axis=1)
+            says = w[np.arange(len(at)), best] * size[at] >= 0.5
+            row = doc[np.flatnonzero(np.diff(key, prepend=-1))][at[says]]
+            pair, count = np.unique(row * k + best[says], return_counts=True)
             n = b.column(1).to_numpy()[pair // k]
-            at = pa.array(pair // k)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(n), pa.array([names[i] for i in pair % k], pa.string()), pa.array(count / n)], names=["doc_id", "sentences", "subject", "part"])
+            take = pa.array(pair // k)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(n), pa.array([names[i] for i in pair % k], pa.string()), pa.array(count / n)], names=["doc_id", "sentences", "subject", "part"])
 
-    return vecs.mapInArrow(run, "doc_id long, sentences int, subject string, part double")
+    return rows.select("doc_id", "n", "sent", "terms", "known").mapInArrow(run, schema)
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:

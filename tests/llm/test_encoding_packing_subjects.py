@@ -68,7 +68,6 @@ def corpus(n):
 
 
 def test_subjects(spark, monkeypatch):
-    monkeypatch.setattr(S, "MOST_DOCS", 0.7)
     docs, truth = corpus(240)
     docs += [(1000, None), (1001, ""), (1002, "one two"), (1003, "nothing of note is said in here at all.")]
     labels = [(i, " Food " if i % 3 == 0 else "LAW", 1) for i in range(0, 60) if i % 3 < 2] + [(0, None, 2), (0, "food", 3), (1, "unknown", 1), (None, "law", 1), (1000, "law", 1)]
@@ -81,5 +80,11 @@ def test_subjects(spark, monkeypatch):
     assert not got.keys() & {1000, 1001, 1002, 1003}
     right = sum({k for k, v in got.get(i, {}).items() if v >= 0.2} == t for i, t in truth.items())
     assert right >= 0.95 * len(truth)
+    monkeypatch.setattr(S, "MAX_ACTIVE", 2)  # the parts of the terms joined in place of broadcast
+    again = {}
+    for r in S.shares(df, lab, subs).collect():
+        again.setdefault(r.doc_id, {})[r.subject] = r.part
+    assert again == got
+    assert S.shares(df, lab, subs.limit(1)).count() == 0
     assert S.shares(df.limit(0), lab, subs).count() == 0
     assert S.shares(df, lab.limit(0), subs).count() == 0
