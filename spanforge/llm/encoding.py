@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.common import ship, table
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabularies on the driver; the file in use is sent to the workers
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # the vocabulary's pre-token pattern, a fixed value
 TABLE_SIZE = 200_000  # pre-tokens kept by a worker
 
@@ -61,19 +62,22 @@ def bpe_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(out) + _field(2, trainer) + _field(3, normaliser)
 
 
+def parse_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return parse_ranks(f.read())
 
 
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str = RANKS, pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
         import sentencepiece
 
-        ranks = load_ranks(path)
         self.cut = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=bpe_model(ranks))
         self.chars = byte_chars()
@@ -96,15 +100,32 @@ class Codec:
 
 @lru_cache(4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return Codec(load_ranks(path), pattern)
+
+
+_AT_WORKER: dict[tuple[str, str], Codec] = {}
+
+
+def shipped(spark: SparkSession, path: str, pattern: str):
+    """The codec on a worker, from the bytes of the file as the driver reads it (a vocabulary of fixed size)."""
+    with open(path, "rb") as f:
+        data = spark.sparkContext.broadcast(f.read())
+
+    def get() -> Codec:
+        if (path, pattern) not in _AT_WORKER:
+            _AT_WORKER[(path, pattern)] = Codec(parse_ranks(data.value), pattern)
+        return _AT_WORKER[(path, pattern)]
+
+    return get
 
 
 def encode(docs: DataFrame, id_col: str, text_col: str, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(id, ids) of each row."""
     ship(docs.sparkSession)
+    get = shipped(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = get()
         for b in batches:
             for at in range(0, b.num_rows, 512):  # a slice bounds what is held at once
                 part = b.slice(at, 512)
@@ -117,11 +138,12 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str = RANKS, patte
 def token_counts(docs: DataFrame, id_col: str, text_col: str, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(id, n, slot): tokens of each row; slot numbers the rows of a partition in order, which spreads equal ids."""
     ship(docs.sparkSession)
+    get = shipped(docs.sparkSession, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, base, seen = codec(path, pattern), TaskContext.get().partitionId() << 40, 0
+        c, base, seen = get(), TaskContext.get().partitionId() << 40, 0
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -133,5 +155,24 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, path: str = RANKS,
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n long, slot long")
 
 
+def decode(ids: DataFrame, id_col: str, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """(id, text) of rows (id, ids)."""
+    ship(ids.sparkSession)
+    get = shipped(ids.sparkSession, path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = get()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+
+    kind = ids.schema[id_col].dataType.simpleString()
+    return ids.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
+def p7_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again from their ids; null texts come back empty."""
+    return decode(p7_ids(spark, sf_dir), "doc_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")

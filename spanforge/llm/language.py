@@ -8,8 +8,8 @@ of one language are one; a segment with too few words or too small a lead takes
 n-grams in no profile are out of place for every language alike and are left out.  Profiles are fitted on the fixed
 table of clean samples (PROFILE n-grams a language).
 
-Defined results: null, empty and blank texts and texts without running words (fewer than LEAST_WORDS words) have no
-language; ties go to the language first in the alphabet; texts of any length are ranked whole; repeated rows come out
+Defined results: null, empty and blank texts have no language; texts without running words (fewer than LEAST_WORDS words or
+LEAST_GRAMS known n-grams) have one of little confidence in p2_segments, none if no n-gram is known, and are no case; ties go to the language first in the alphabet; texts of any length are ranked whole; repeated rows come out
 each; an empty sample table gives no languages and no rows.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.common import ship, table
+from spanforge.common import materialise, ship, table
 from spanforge.llm import npwords
 
 PROFILE = 700
@@ -40,7 +40,7 @@ SWITCH = 20.0  # log-odds that another language must have over a run of words of
 BOTH = 12  # letters of each of two scripts from which a segment is looked at again too
 DELIMITERS = ".!?;:()[]{}\"„“”«»‹›–—|/*\n\r•"
 SLICE = 2000
-SKIP, CUT = 255, 254
+SKIP, CUT = 65535, 65534
 RESULT = "field string, langs array<struct<lang: string, start: int, end: int, confidence: double>>"
 
 
@@ -49,7 +49,7 @@ class Profiles:
 
     def __init__(self, samples: list[tuple[str, str]]):
         samples = [(lang, t.lower()) for lang, t in samples if lang and t]
-        letters = sorted({c for _, t in samples for c in t if unicodedata.category(c)[0] == "L"})[:250]
+        letters = sorted({c for _, t in samples for c in t if unicodedata.category(c)[0] == "L"})
         self.langs = sorted({lang for lang, _ in samples})
         self.letters, self.base = letters, len(letters) + 1
         self.cyrillic = np.array([False, *("Ѐ" <= c <= "ӿ" for c in letters)])
@@ -69,17 +69,27 @@ class Profiles:
                 self.ranks[ids[g], k] = r
         n = self.base
         self.logp = np.ascontiguousarray(-np.log(self.ranks.T + 20.0))  # of an n-gram in a language, falling with its rank
-        self.two, self.three = np.full(n * n, -1, np.int32), np.full(n * n * n, -1, np.int32)
-        for g, i in ids.items():
-            if len(g) == 2:
-                self.two[g[0] * n + g[1]] = i
-            else:
-                self.three[(g[0] * n + g[1]) * n + g[2]] = i
+        # n-gram ids by sorted key; keys of bigrams follow those of trigrams
+        key = lambda g: (g[0] * n + g[1]) * n + g[2] if len(g) == 3 else n**3 + g[0] * n + g[1]
+        keys = np.array([key(g) for g in grams], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], order.astype(np.int32)
+        self.dense = None
+        if n <= 200:  # a table of all keys is small then
+            self.dense = np.full(n**3 + n * n, -1, np.int32)
+            self.dense[self.keys] = self.ids
+
+    def lookup(self, key: np.ndarray) -> np.ndarray:
+        """Id of each n-gram key, -1 for n-grams of no profile."""
+        if self.dense is not None:
+            return self.dense[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], -1)
 
     @lru_cache(1)  # noqa: B019
     def classes(self) -> np.ndarray:
         """Class of each code point: letter number, SKIP for marks and invisible characters, CUT for delimiters, 0 for the rest."""
-        out = np.zeros(sys.maxunicode + 1, np.uint8)
+        out = np.zeros(sys.maxunicode + 1, np.uint16)
         no = {c: i + 1 for i, c in enumerate(self.letters)}
         for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)]:
             ch = chr(c)
@@ -107,13 +117,13 @@ class Profiles:
         keep = letter.copy()
         keep[1:] |= letter[:-1]
         keep[:-1] |= letter[1:]
-        s = np.where(letter, cl, 0)[keep].astype(np.int32)
+        s = np.where(letter, cl, 0)[keep].astype(np.int64)
         at, sg = where[keep], seg[keep]
         if len(s) < 3 or not self.langs:
             e = np.empty(0, np.int64)
             return e, e, e, e, e, np.empty((0, 1)), e.astype(bool)
         n, mid = self.base, s[1:-1] != 0
-        ids = np.concatenate([self.three[(s[:-2] * n + s[1:-1]) * n + s[2:]][mid], self.two[s[:-1] * n + s[1:]][(s[:-1] != 0) & (s[1:] != 0)]])
+        ids = self.lookup(np.concatenate([((s[:-2] * n + s[1:-1]) * n + s[2:])[mid], (n**3 + s[:-1] * n + s[1:])[(s[:-1] != 0) & (s[1:] != 0)]]))
         sgs = np.concatenate([sg[1:-1][mid], sg[:-1][(s[:-1] != 0) & (s[1:] != 0)]])
         hit = ids >= 0
         key = np.sort(sgs[hit].astype(np.int64) << 20 | ids[hit])
@@ -121,10 +131,14 @@ class Profiles:
             e = np.empty(0, np.int64)
             return e, e, e, e, e, np.empty((0, 1)), e.astype(bool)
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        count = np.minimum(np.diff(np.append(first, len(key))), 0xFFF)
+        count = np.diff(np.append(first, len(key)))
         key = key[first]
-        key = np.sort((key >> 20) << 32 | (0xFFF - count) << 20 | key & 0xFFFFF)
-        sid, gid = key >> 32, key & 0xFFFFF
+        if count.max() <= 0xFFF:
+            key = np.sort((key >> 20) << 32 | (0xFFF - count) << 20 | key & 0xFFFFF)
+            sid, gid = key >> 32, key & 0xFFFFF
+        else:
+            order = np.lexsort((key & 0xFFFFF, -count, key >> 20))
+            sid, gid = key[order] >> 20, key[order] & 0xFFFFF
         begin = np.flatnonzero(np.diff(sid, prepend=-1))
         rank = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
         kept = rank < PROFILE
@@ -241,8 +255,8 @@ class Profiles:
         two = np.partition(dist, 1, axis=1)
         return best, (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-9)
 
-    def label(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]] | None]:
-        """Runs of one language in each text."""
+    def label(self, texts: list[str | None], every: bool = False) -> list[list[tuple[str, int, int, float]] | None]:
+        """Runs of one language in each text; every: also of texts without running words, with less confidence."""
         out: list[list | None] = [None] * len(texts)
         changes: dict[int, list[int]] = {}
         parts = self.segments(texts, changes)
@@ -267,6 +281,8 @@ class Profiles:
         rows = zip(t[first].tolist(), first.tolist(), last.tolist(), total.tolist(), variety.tolist(), main.tolist(), main_lead.tolist(), one[0].tolist(), one[1].tolist(), start[first].tolist(), end[final].tolist())
         for k, a, b, n, v, m, c, lo, hi, x, y in rows:
             if n < LEAST_WORDS or v < LEAST_GRAMS:
+                if every:
+                    out[k] = [(langs[m], x, y, c * min(1.0, n / LEAST_WORDS) * min(1.0, v / LEAST_GRAMS) / 2)]
                 continue
             if lo >= hi or hi < 0:
                 out[k] = [(langs[hi if hi >= 0 else m], x, y, c)]
@@ -284,8 +300,9 @@ class Profiles:
         return out
 
 
-def identify(rows: DataFrame, id_col: str, fields: tuple[str, ...], samples: DataFrame) -> DataFrame:
-    """(id, field, langs): the language runs of each field that has running words."""
+def identify(rows: DataFrame, id_col: str, fields: tuple[str, ...], samples: DataFrame, every: bool = False) -> DataFrame:
+    """(id, field, langs): the language runs of each field that has running words or, if `every`, of each that is not blank; one
+    without a known n-gram has a run without language and confidence."""
     ship(rows.sparkSession)
     p = Profiles([(r[0], r[1]) for r in samples.select("lang", "text").collect()])  # the fixed sample table
     shared = rows.sparkSession.sparkContext.broadcast(p)
@@ -299,7 +316,10 @@ def identify(rows: DataFrame, id_col: str, fields: tuple[str, ...], samples: Dat
             for a in range(0, batch.num_rows, SLICE):
                 b = batch.slice(a, SLICE)
                 for k, f in enumerate(fields):
-                    got = prof.label(b.column(k + 1).to_pylist())
+                    texts = b.column(k + 1).to_pylist()
+                    got = prof.label(texts, every)
+                    if every:
+                        got = [g or ([(None, 0, len(t), 0.0)] if t and not t.isspace() else None) for g, t in zip(got, texts)]
                     at = [i for i, x in enumerate(got) if x]
                     langs = [[{"lang": r[0], "start": r[1], "end": r[2], "confidence": r[3]} for r in got[i]] for i in at]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([f] * len(at), pa.string()), pa.array(langs, struct)], names=["id", "field", "langs"])
@@ -321,8 +341,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs = runs.select("id", "field", F.array_distinct(F.transform("langs", lambda x: x["lang"])).alias("langs"))
     labels = rows.select(F.col("line_no").alias("id"), F.explode(F.array(F.struct(F.lit("src").alias("field"), F.col("src_lang").alias("label")), F.struct(F.lit("trg").alias("field"), F.col("trg_lang").alias("label")))).alias("e")).select("id", "e.field", "e.label")
     said = label_lang(table(spark, sf_dir, "languages"), labels, "label")
-    odd = langs.join(said, ["id", "field"]).where("size(langs) > 1 or said is null or said <> langs[0]")
-    bad = mojibake.damaged(spark, rows, "line_no", ("src", "trg"))
+    odd = materialise(langs.join(said, ["id", "field"]).where("size(langs) > 1 or said is null or said <> langs[0]"), "odd")
+    bad = mojibake.damaged(spark, rows, "line_no", ("src", "trg"), odd)
     return odd.join(bad, ["id", "field"], "left_anti").select(F.col("id").alias("line_no"), "field", F.explode("langs").alias("lang"))
 
 
@@ -333,5 +353,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text and every segment of a mixed one with its language and confidence."""
     rows = table(spark, sf_dir, "paired_sp_train").select("line_no", "src", "trg")
-    runs = identify(rows, "line_no", ("src", "trg"), table(spark, sf_dir, "lang_samples"))
+    runs = identify(rows, "line_no", ("src", "trg"), table(spark, sf_dir, "lang_samples"), every=True)
     return runs.select(F.col("id").alias("line_no"), "field", F.posexplode("langs").alias("segment", "r")).select("line_no", "field", "segment", "r.start", "r.end", "r.lang", F.round("r.confidence", 6).alias("confidence"))

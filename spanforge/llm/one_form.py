@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.common import ship, table
+from spanforge.common import materialise, ship, table
 
 # look-alike pairs, fixed values: Cyrillic, then Greek, with the Latin letter of the same look
 CYRILLIC = "АВЕЅІЈКМНОРСТУХҮҺаесіјорѕухһԁԛԝӏ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXYhaecijopsyxhdqwl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχϳ"
-GREEK_AS = "ABEZHIKMNOPTYXaivopuxj"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχϳϲϹ"
+GREEK_AS = "ABEZHIKMNOPTYXaivopuxjcC"
+OTHERS = "օոսհցզՍՕԼᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴ"  # Armenian, Cherokee
+OTHERS_AS = "onuhgqUOLDRTAJEWMHGZWVSLCPKB"
 GREEK_CYRILLIC = "ΑΒΕΗΙΚΜΟΡΤΥΧαικορχ"
 GREEK_CYRILLIC_AS = "АВЕНІКМОРТУХаікорх"
 LATIN = "ıɑɡɩⅼ"
@@ -44,7 +46,7 @@ def compat() -> tuple[str, str, list[tuple[str, str]]]:
         ch = chr(c)
         tag = unicodedata.decomposition(ch).partition(">")[0]
         to = unicodedata.normalize("NFKC", ch)
-        if ch == "µ" or to == ch or tag not in ("<font", "<wide", "<narrow", "<compat", "<circle", "<initial", "<medial", "<final", "<isolated"):
+        if ch == "µ" or ch in GREEK or to == ch or tag not in ("<font", "<wide", "<narrow", "<compat", "<circle", "<initial", "<medial", "<final", "<isolated"):
             continue
         if tag not in ("<wide", "<narrow") and (unicodedata.category(ch)[0] == "S" and tag != "<circle" or not all(unicodedata.category(x)[0] in "LN" for x in to)):
             continue
@@ -68,15 +70,18 @@ def form_sql() -> str:
     for ch, to in longer:
         if "LATIN" in unicodedata.name(ch, "") or 0xFB00 <= ord(ch) < 0xFB07:
             wide = f"replace({wide}, {_quote(ch)}, {_quote(to)})"
-    odd = "[^\\x{0}-\\x{9F}\\x{A1}-\\x{AC}\\x{AE}-\\x{130}\\x{132}-\\x{17F}\\x{400}-\\x{481}\\x{48A}-\\x{52F}\\x{2012}-\\x{2027}\\x{2030}-\\x{205E}\\x{20A0}-\\x{20CF}\\x{2100}-\\x{2129}]|[\\x{132}\\x{133}\\x{17F}]"
-    to_lat = f"translate(w, {_quote(CYRILLIC + GREEK + LATIN)}, {_quote(CYRILLIC_AS + GREEK_AS + LATIN_AS)})"
-    lat_from = "ABESIJKMHOPCTYXaecijopsyxh"
-    to_cyr = f"translate(w, {_quote(lat_from)}, {_quote('АВЕЅІЈКМНОРСТУХаесіјорѕухһ')})"
-    foreign = "[\\p{Cyrillic}\\p{Greek}]"
+    odd = "[^\\x{0}-\\x{9F}\\x{A1}-\\x{AC}\\x{AE}-\\x{130}\\x{132}-\\x{17F}\\x{400}-\\x{481}\\x{48A}-\\x{52F}\\x{2012}-\\x{2027}\\x{2030}-\\x{205E}\\x{20A0}-\\x{20CF}{signs}]|[\\x{132}\\x{133}\\x{17F}]".replace("{signs}", "".join(chr(c) for c in range(0x2100, 0x2150) if unicodedata.category(chr(c))[0] != "L"))
+    to_lat = f"translate(w, {_quote(CYRILLIC + GREEK + LATIN + OTHERS)}, {_quote(CYRILLIC_AS + GREEK_AS + LATIN_AS + OTHERS_AS)})"
+    lat_from = "ABEIKMHOPCTYXaeciopyx"  # those whose look-alike stands in a Cyrillic alphabet of the data
+    to_cyr = f"translate(w, {_quote(lat_from)}, {_quote('АВЕІКМНОРСТУХаесіорух')})"
+    foreign = "[\\p{Cyrillic}\\p{Greek}\\p{Armenian}\\p{Cherokee}]"
+    in_word = lambda s: f"length(regexp_replace(w, '[^{s}]+', '', 'g'))"
+    cyr, lat = in_word(chr(92) + "p{Cyrillic}"), in_word(chr(92) + "p{Latin}")
+    more_cyr = f"({cyr} > {lat} OR {cyr} = {lat} AND mostly_cyr)"  # most letters of the word decide, then those of the text
     word = f"""CASE WHEN regexp_matches(w, '\\p{{Greek}}') AND regexp_matches(w, '\\p{{Cyrillic}}') AND NOT regexp_matches(w, '\\p{{Latin}}')
           THEN translate(w, {_quote(GREEK_CYRILLIC)}, {_quote(GREEK_CYRILLIC_AS)})
         WHEN NOT (regexp_matches(w, '{foreign}|[{LATIN}]') AND (any_lat OR regexp_matches(w, '\\p{{Latin}}'))) THEN w
-        WHEN regexp_matches(w, '\\p{{Latin}}') THEN CASE WHEN NOT regexp_matches({to_lat}, '{foreign}') THEN CASE WHEN mostly_cyr AND NOT regexp_matches({to_cyr}, '\\p{{Latin}}') THEN {to_cyr} ELSE {to_lat} END
+        WHEN regexp_matches(w, '\\p{{Latin}}') THEN CASE WHEN NOT regexp_matches({to_lat}, '{foreign}') THEN CASE WHEN {more_cyr} AND NOT regexp_matches({to_cyr}, '\\p{{Latin}}') THEN {to_cyr} ELSE {to_lat} END
              WHEN NOT regexp_matches({to_cyr}, '\\p{{Latin}}') THEN {to_cyr} ELSE w END
         WHEN all_like AND NOT mostly_cyr THEN {to_lat} ELSE w END"""
     latin_word = f"CASE WHEN lat_like AND mostly_cyr AND regexp_matches(w, '\\p{{Latin}}') AND NOT regexp_matches(w, '{foreign}') AND NOT regexp_matches({to_cyr}, '\\p{{Latin}}') THEN {to_cyr} ELSE {word} END"
@@ -85,10 +90,10 @@ def form_sql() -> str:
     WITH plain AS (
       SELECT i, t, CASE WHEN NOT regexp_matches(t, '{odd}|\\x{{A0}}|\\x{{AD}}') THEN nfc_normalize(t)
         ELSE nfc_normalize(regexp_replace(regexp_replace(regexp_replace({wide}, '{INVISIBLE}', '', 'g'), '{BLANK}', ' ', 'g'), '{HYPHEN}', '-', 'g')) END AS u FROM x),
-    mixed AS (SELECT i, u, {letters(chr(92) + 'p{Latin}')} AS n_lat, {letters(chr(92) + 'p{Cyrillic}' + chr(92) + 'p{Greek}')} AS n_cyr,
-        {letters(CYRILLIC + GREEK)} AS n_like, {letters(lat_from)} AS n_lat_like
+    mixed AS (SELECT i, u, {letters(chr(92) + 'p{Latin}')} AS n_lat, {letters(foreign[1:-1])} AS n_cyr,
+        {letters(CYRILLIC + GREEK + OTHERS)} AS n_like, {letters(lat_from)} AS n_lat_like
       FROM plain WHERE regexp_matches(u, '\\p{{Latin}}') AND regexp_matches(u, '{foreign}|[{LATIN}]') OR regexp_matches(u, '\\p{{Greek}}') AND regexp_matches(u, '\\p{{Cyrillic}}')),
-    folded AS (SELECT i, array_to_string(list_transform(string_split(u, ' '), lambda w: {latin_word}), ' ') AS u
+    folded AS (SELECT i, array_to_string(list_transform(regexp_extract_all(u, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {latin_word}), '') AS u
       FROM (SELECT i, u, n_lat > 0 AS any_lat, n_cyr > n_lat AS mostly_cyr, n_cyr = n_like AS all_like, n_lat = n_lat_like AS lat_like FROM mixed))
     SELECT coalesce(nfc_normalize(f.u), p.u) AS u FROM plain p LEFT JOIN folded f USING (i) ORDER BY p.i"""
 
@@ -142,9 +147,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm import mojibake
 
     rows = table(spark, sf_dir, "paired_sp_train").select("line_no", "src", "trg")
-    garbled = mojibake.damaged(spark, rows, "line_no", ("src", "trg"))
-    out = changed(rows, "line_no", ("src", "trg")).select(F.col("id").alias("line_no"), "field")
-    return out.join(garbled.select(F.col("id").alias("line_no"), "field"), ["line_no", "field"], "left_anti")
+    out = materialise(changed(rows, "line_no", ("src", "trg")).select("id", "field"), "changed")
+    garbled = mojibake.damaged(spark, rows, "line_no", ("src", "trg"), out)
+    return out.join(garbled, ["id", "field"], "left_anti").select(F.col("id").alias("line_no"), "field")
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

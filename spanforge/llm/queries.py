@@ -20,6 +20,7 @@ QUERIES = {
     "p6_found": format_dups.p6_found,
     "p6_collapsed": format_dups.p6_collapsed,
     "p7_ids": encoding.p7_ids,
+    "p7_decode": encoding.p7_decode,
     "p8_containers": packing.p8_containers,
     "p8_fill": packing.p8_fill,
     "p9_found": subjects.p9_found,
@@ -49,6 +50,7 @@ WITH t AS (SELECT line_no, coalesce(split IN ('dev', 'devtest'), FALSE) AS ev, 0
      m AS (SELECT DISTINCT a, b FROM p WHERE k >= 0.8 * (na + nb - k))
 """
 ORACLE = {
+    "p7_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": _OVERLAP + "SELECT least(a, b) AS line_a, greatest(a, b) AS line_b FROM m",
     "p5_report": _OVERLAP + "SELECT split, source, count(*) AS pairs, count(DISTINCT a) AS eval_rows, count(DISTINCT b) AS train_rows FROM m JOIN paired_sp_train ON a = line_no GROUP BY 1, 2",
     "p1_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",

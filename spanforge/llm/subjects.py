@@ -151,7 +151,7 @@ class Components:
         order = np.argsort(terms)
         self.terms, p, n = terms[order], p[order], n[order]
         other = np.maximum(1 - p.sum(axis=1), OTHER)
-        mass = np.append(((p + FLOOR) * n[:, None]).sum(axis=0) + FLOOR * max(tokens - n.sum(), 0), (other * n).sum() + max(tokens - n.sum(), 0) + 1e-9)
+        mass = np.append(((p + FLOOR) * n[:, None]).sum(axis=0) + FLOOR * max(tokens - n.sum(), 0) + 1e-9, (other * n).sum() + max(tokens - n.sum(), 0) + 1e-9)
         self.mass = mass
         self.u = np.hstack([p + FLOOR, other[:, None]]) / mass
         self.rest = np.append(np.full(p.shape[1], FLOOR), 1.0) / mass

@@ -21,6 +21,7 @@ def test_ids_equal_other_library_and_round_trip(spark):
     for r in E.encode(rows, "doc_id", "text").collect():
         assert r.ids == (enc.encode_ordinary(TEXTS[r.doc_id]) if TEXTS[r.doc_id] else [])
         assert c.decode(r.ids) == (TEXTS[r.doc_id] or "")
+    assert {r.doc_id: r.text for r in E.decode(E.encode(rows, "doc_id", "text"), "doc_id").collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     n = {r.doc_id: r.n for r in E.token_counts(rows, "doc_id", "text").collect()}
     assert n[1] == n[2] == 0 and n[0] == 2
 

@@ -8,6 +8,7 @@ FORMS = {
     "ｖｉｅｌｅ Leute": "viele Leute", "a enсore besoin": "a encore besoin", "(Друнора) la cittα": "(Друнора) la citta", "е́ é ﬁn ĳ ǌ": "é é fin ij nj",
     "𝟎𝟏  x y​z": "01  x yz", "Ka": "Ka", "": "", "la а b": "la a b", "Тарас i Олeна": "Тарас і Олена", "taxi ще Друнора": "taxi ще Друнора",
     "l‑appell so­ft": "l-appell soft", "20 °C, § 4, 15 €, ÜBER ÄRA.": "20 °C, § 4, 15 €, ÜBER ÄRA.", "m² ½ № … ’«» –": "m² ½ № … ’«» –", "a\t  b": "a\t  b", "голοвною": "головною", "il-Друнора": "il-Друнора",
+    "cаsa,привет друг": "casa,привет друг", "pаypal\tпривет": "paypal\tпривет", "ϲоmе": "come", "ℌello ℃ №": "Hello ℃ №", "Ꭺpple": "Apple", "օpen": "open",
 }
 
 
@@ -55,18 +56,24 @@ def test_lost_bytes_and_no_cases():
 
     d = M.Decoder({w: math.log(1 / 500) for t in CLEAN.values() for w in t.split()})
     assert d.decode("la premi�re ann�e")[:2] == (True, "la première année")
+    assert d.decode("la premi��re ann��e")[:2] == (True, "la première année")  # two bytes a letter
+    assert d.decode("la premi�re annÃ�e")[:2] == (True, "la première année")  # one of two bytes left
+    assert d.decode("мiсто мі��о")[1].endswith("місто")
     hit, text, _, whole = d.decode("� ���")
     assert hit and not whole and text == "� ���"
     for t in ("20 °C, § 4, 15 €, ÜBER ÄRA.", "(Ñandra, Ørvik)", "a enсore besoin", "", "plain", "ｖｉｅｌｅ"):
         assert not d.decode(t)[0], t
 
 
-def test_restore_frame(spark):
+def test_restore_frame(spark, monkeypatch):
     good = [(i, CLEAN["fra"], CLEAN["ukr"], "x") for i in range(30)]
     bad = [(100, CLEAN["fra"].encode().decode("cp1252", "ignore"), None, "y"), (101, "", " ", "z"), (102, None, "12 # 4", "z")]
     rows = spark.createDataFrame(good + bad, "line_no long, src string, trg string, text string")
     got = M.restore(spark, rows, "line_no", ("src", "trg")).collect()
     assert [(r.id, r.field) for r in got] == [(100, "src")]
+    monkeypatch.setattr(M, "MAX_WORDS", 5)  # words beyond go with the texts
+    again = M.restore(spark, rows, "line_no", ("src", "trg")).collect()
+    assert [r.restored for r in again] == [r.restored for r in got]
     assert M.restore(spark, rows.limit(0), "line_no", ("src", "trg")).count() == 0
 
 
@@ -85,6 +92,8 @@ def test_language_runs():
     assert got[4:9] == [None] * 5 and sorted(set(got[9])) == ["eng", "ukr"]
     (a, s, e, c), (b, s2, e2, _) = p.label(t)[3]
     assert t[3][s2:e2] == SAMPLES[0][1] and s == 0 and 0 < c <= 1
+    short = p.label([*t[4:9], "la casa"], every=True)
+    assert short[:2] == [None, None] and short[-1][0][0] == "ita" and 0 < short[-1][0][3] < 0.5
     assert p.label([]) == [] and L.Profiles([]).label(["some words in here now"]) == [None]
     assert [r[0] for r in p.label([" ".join([SAMPLES[1][1]] * 2000)])[0]] == ["ita"]
 
