@@ -44,12 +44,10 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint for a frame whose caller proves at most max_rows rows; larger frames raise instead of flooding the executors."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"broadcast side has more than {max_rows} rows")
-    return F.broadcast(df)
+def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """The frame written once, with a broadcast hint if a count proves at most max_rows rows; larger ones are left to a shuffle."""
+    df = materialise(df, "small")
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -28,8 +28,9 @@ def nfkc(text: Column) -> Column:
 
 
 def prepare(text: Column, normalise: bool = True) -> Column:
-    """Normal form of a line: compatibility form, control and format characters deleted, digits and symbols set apart, blanks collapsed."""
-    t = nfkc(text) if normalise else text
+    """Normal form of a line: line ends inside a text are blanks, compatibility form, control and format characters deleted, digits and symbols set apart, blanks collapsed."""
+    t = F.regexp_replace(text, "[\\r\\n]+", " ")
+    t = nfkc(t) if normalise else t
     t = F.regexp_replace(t, DELETED, "")
     t = F.regexp_replace(t, "([0-9]+)", " $1 ")
     t = F.regexp_replace(t, SYMBOL, " $1 ")

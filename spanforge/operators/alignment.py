@@ -1,4 +1,4 @@
-"""Alignment operators: consistent phrases, symmetrisation of two directions, and one step of a lexical translation model."""
+"""Alignment operators: consistent phrases, symmetrisation of two directions, and a lexical translation model with its word links."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.common import materialise
+from spanforge.operators.lattice import let
 
 PHRASE = "struct<s_start:int,s_end:int,t_start:int,t_end:int>"
 
@@ -16,29 +17,39 @@ def phrase_spans(links: Column, s_len: Column, t_len: Column) -> Column:
 
     A source range grows while no link leaves its target range for a source word outside it; when it no longer can, the
     last range that was consistent is given and the next one starts at the word that failed.  A range without links has
-    the empty target range (t_len - 1, -1)."""
-    state = f"struct<at:int,last:{PHRASE},out:array<{PHRASE}>>"
+    the empty target range (t_len - 1, -1).  The first and last partner of every place are found once; a range is
+    consistent if those of its target places lie within it."""
+    state = f"struct<at:int,lo:int,hi:int,last:{PHRASE},out:array<{PHRASE}>>"
 
-    def box(a: Column, b: Column) -> Column:
-        inside = F.filter(links, lambda x: (x["si"] >= a) & (x["si"] <= b))
-        lo = F.coalesce(F.array_min(F.transform(inside, lambda x: x["ti"])), t_len - 1)
-        hi = F.coalesce(F.array_max(F.transform(inside, lambda x: x["ti"])), F.lit(-1))
-        return F.struct(a.cast("int").alias("s_start"), b.cast("int").alias("s_end"), lo.cast("int").alias("t_start"), hi.cast("int").alias("t_end"))
+    def partners(n: Column, own: str, other: str, pick) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: pick(F.transform(F.filter(links, lambda x: x[own] == k), lambda x: x[other])))
 
-    def consistent(p: Column) -> Column:
-        return ~F.exists(links, lambda x: (x["ti"] >= p["t_start"]) & (x["ti"] <= p["t_end"]) & ((x["si"] < p["s_start"]) | (x["si"] > p["s_end"])))
+    t_all = F.greatest(t_len, F.coalesce(F.array_max(F.transform(links, lambda x: x["ti"])) + 1, F.lit(1)))
+    ends = F.struct(
+        partners(s_len, "si", "ti", F.array_min).alias("lo_t"), partners(s_len, "si", "ti", F.array_max).alias("hi_t"),
+        partners(t_all, "ti", "si", F.array_min).alias("lo_s"), partners(t_all, "ti", "si", F.array_max).alias("hi_s"))
 
-    def step(acc: Column, i: Column) -> Column:
-        grown = box(acc["at"], i)
-        emitted = F.when(acc["last"].isNotNull(), F.array_append(acc["out"], acc["last"])).otherwise(acc["out"])
-        restart = F.struct(i.cast("int").alias("at"), F.lit(None).cast(PHRASE).alias("last"), emitted.alias("out"))
-        kept = F.struct(acc["at"].alias("at"), grown.alias("last"), acc["out"].alias("out"))
-        waiting = F.struct(acc["at"].alias("at"), acc["last"].alias("last"), acc["out"].alias("out"))
-        return F.when(consistent(grown), kept).when(acc["last"].isNotNull(), restart).otherwise(waiting).cast(state)
+    def walk(e: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            grown = F.struct(F.least(acc["lo"], F.get(e["lo_t"], i)).alias("lo"), F.greatest(acc["hi"], F.get(e["hi_t"], i)).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(PHRASE).alias("last"), F.array().cast(f"array<{PHRASE}>").alias("out")).cast(state)
-    done = lambda a: F.when(a["last"].isNotNull(), F.array_append(a["out"], a["last"])).otherwise(a["out"])
-    return F.when(s_len > 0, F.aggregate(F.sequence(F.lit(0), s_len - 1), start, step, done)).otherwise(F.array().cast(f"array<{PHRASE}>"))
+            def decide(g: Column) -> Column:
+                inside = lambda c: F.slice(c, g["lo"] + 1, g["hi"] - g["lo"] + 1)
+                good = F.when(g["lo"].isNull(), F.lit(True)).otherwise((F.array_min(inside(e["lo_s"])) >= acc["at"]) & (F.array_max(inside(e["hi_s"])) <= i))
+                phrase = F.struct(acc["at"].alias("s_start"), i.cast("int").alias("s_end"), F.coalesce(g["lo"], t_len - 1).cast("int").alias("t_start"), F.coalesce(g["hi"], F.lit(-1)).cast("int").alias("t_end"))
+                kept = F.struct(acc["at"].alias("at"), g["lo"].alias("lo"), g["hi"].alias("hi"), phrase.alias("last"), acc["out"].alias("out"))
+                restart = F.struct(i.cast("int").alias("at"), F.get(e["lo_t"], i).alias("lo"), F.get(e["hi_t"], i).alias("hi"), F.lit(None).cast(PHRASE).alias("last"), F.array_append(acc["out"], acc["last"]).alias("out"))
+                waiting = F.struct(acc["at"].alias("at"), g["lo"].alias("lo"), g["hi"].alias("hi"), acc["last"].alias("last"), acc["out"].alias("out"))
+                return F.when(good, kept).when(acc["last"].isNotNull(), restart).otherwise(waiting).cast(state)
+
+            return let(grown, decide)
+
+        none = F.lit(None)
+        start = F.struct(F.lit(0).alias("at"), none.cast("int").alias("lo"), none.cast("int").alias("hi"), none.cast(PHRASE).alias("last"), F.array().cast(f"array<{PHRASE}>").alias("out")).cast(state)
+        done = lambda a: F.when(a["last"].isNotNull(), F.array_append(a["out"], a["last"])).otherwise(a["out"])
+        return F.aggregate(F.sequence(F.lit(0), s_len - 1), start, step, done)
+
+    return F.when(s_len > 0, let(ends, walk)).otherwise(F.array().cast(f"array<{PHRASE}>"))
 
 
 def phrases(rows: DataFrame, align: DataFrame) -> DataFrame:
@@ -83,13 +94,38 @@ def symmetrise(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def lexical_step(pairs: DataFrame, t: DataFrame | None = None) -> DataFrame:
-    """(src, trg, p): one expectation-maximisation step of the first lexical translation model over lines (line_no, s, t); uniform where no table is given."""
-    each = pairs.select("line_no", F.posexplode("t").alias("j", "trg"), "s").select("line_no", "j", "trg", F.explode("s").alias("src"))
+    """(src, trg, p): one expectation-maximisation step of the first lexical translation model over lines (line_no, s, t); uniform where no table is given.
+
+    From the uniform start the share of a source word is one over the number of source words of its line, so nothing but
+    the sums is shuffled."""
     if t is None:
-        each = each.withColumn("p", F.lit(1.0))
+        each = pairs.where("size(s) > 0").select((1.0 / F.size("s")).alias("share"), "s", F.explode("t").alias("trg")).select("share", "trg", F.explode("s").alias("src"))
     else:
-        each = each.join(t.select("src", "trg", "p"), ["src", "trg"])
-    # the share of a source word in its target word, summed per (source set, target word) before words are paired
-    total = each.groupBy("line_no", "j").agg(F.sum("p").alias("z"))
-    c = each.join(total, ["line_no", "j"]).groupBy("src", "trg").agg(F.sum(F.col("p") / F.col("z")).alias("c"))
+        each = pairs.select("line_no", F.posexplode("t").alias("j", "trg"), "s").select("line_no", "j", "trg", F.explode("s").alias("src")).join(t.select("src", "trg", "p"), ["src", "trg"])
+        each = each.groupBy("line_no", "j", "trg").agg(F.collect_list(F.struct("src", "p")).alias("of"), F.sum("p").alias("z"))  # the source words of one line
+        each = each.select("trg", "z", F.explode("of").alias("o")).select("trg", F.col("o.src").alias("src"), (F.col("o.p") / F.col("z")).alias("share"))
+    c = materialise(each.groupBy("src", "trg").agg(F.sum("share").alias("c")), "lexical")
     return c.join(c.groupBy("src").agg(F.sum("c").alias("cs")), "src").select("src", "trg", (F.col("c") / F.col("cs")).alias("p"))
+
+
+def lexical_model(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+    """(src, trg, p) after some rounds, each written."""
+    t = None
+    for _ in range(rounds):
+        t = materialise(lexical_step(pairs, t), "lexical")
+    return t
+
+
+def best_links(pairs: DataFrame, t: DataFrame) -> DataFrame:
+    """(line_no, si, ti): for each target word the likeliest source word of its line, the first of equals."""
+    each = pairs.select("line_no", F.posexplode("t").alias("ti", "trg"), "s").select("line_no", "ti", "trg", F.posexplode("s").alias("si", "src")).join(t.select("src", "trg", "p"), ["src", "trg"])
+    return each.groupBy("line_no", "ti").agg(F.max(F.struct(F.round("p", 9).alias("p"), (-F.col("si")).alias("at"))).alias("b")).select("line_no", (-F.col("b.at")).cast("int").alias("si"), "ti")
+
+
+def align_words(pairs: DataFrame, rounds: int = 5) -> DataFrame:
+    """(line_no, links) of lines (line_no, s, t): a lexical model in each direction, then both directions made one."""
+    turned = pairs.select("line_no", F.col("t").alias("s"), F.col("s").alias("t"))
+    forward = materialise(best_links(pairs, lexical_model(pairs, rounds)), "forward")
+    backward = best_links(turned, lexical_model(turned, rounds)).select("line_no", F.col("ti").alias("si"), F.col("si").alias("ti"))
+    both = symmetrise(forward, materialise(backward, "backward"))
+    return both.groupBy("line_no").agg(F.sort_array(F.collect_list(F.struct("si", "ti"))).alias("links"))  # links of one line

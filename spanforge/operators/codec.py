@@ -61,3 +61,14 @@ def merge_vocabs(first: DataFrame, second: DataFrame) -> DataFrame:
     both = a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1)))
     key = F.concat_ws("|", "part", F.lpad(F.col("id").cast("string"), 20, "0"), "token")
     return both.select("token", key.alias("k")).join(C.index(both.select(key.alias("k")), "k", "id"), "k").select("token", "id")
+
+
+def token_ids(tokens: DataFrame, vocab: DataFrame, unk: int = 0) -> DataFrame:
+    """(line_no, pos, token, id) of single tokens; one that is not in the vocabulary gets the unknown id."""
+    return tokens.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(unk).cast("long")))
+
+
+def id_tokens(ids: DataFrame, vocab: DataFrame, ignored: int = -100) -> DataFrame:
+    """The rows (..., id) with their tokens; the ignored id gives the empty token, an id that is not in the vocabulary the unknown one."""
+    got = ids.join(vocab, "id", "left")
+    return got.withColumn("token", F.when(F.col("id") == ignored, F.lit("")).otherwise(F.coalesce("token", F.lit("<unk>"))))

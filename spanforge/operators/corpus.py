@@ -86,3 +86,18 @@ def paired_words(pairs: DataFrame) -> DataFrame:
     """(src, word, n): distinct lattice inputs with their weight."""
     weight = F.col("n") if "n" in pairs.columns else F.lit(1)
     return pairs.select("src", F.explode(T.marked_words(F.col("trg"))).alias("word"), weight.alias("n")).groupBy("src", "word").agg(F.sum("n").alias("n"))
+
+
+def words_with_sources(rows: DataFrame, align: DataFrame) -> DataFrame:
+    """(line_no, pos, src, word): every marked word of each line with the source tokens its links name, or all tokens of the
+    line where it has none.  Links name places of the texts cut at blanks, tabs and line ends; a place out of range is no link."""
+    ship(rows.sparkSession)
+    cut = lambda c: F.filter(F.split(c, "[ \\t\\r\\n]+"), lambda x: x != "")
+    once = align.where("links is not null").groupBy("line_no").agg(F.flatten(F.collect_list("links")).alias("links"))  # repeated rows of a line
+    both = rows.where("src is not null and trg is not null").join(once, "line_no", "left")
+    each = both.select("line_no", cut(F.col("src")).alias("s"), T.split_tokens(T.prepare(F.col("src"))).alias("all"), "links", F.posexplode(cut(F.col("trg"))).alias("j", "word"))
+    places = F.sort_array(F.array_distinct(F.transform(F.filter("links", lambda x: (x["ti"] == F.col("j")) & (x["si"] >= 0) & (x["si"] < F.size("s"))), lambda x: x["si"])))
+    own = each.withColumn("own", F.array_join(F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.get("s", i)), " "))
+    src = own.select("line_no", "j", "all", T.split_tokens(T.prepare(F.when(F.col("own") != "", F.col("own")))).alias("own"), T.mark_words(T.prepare(F.col("word"))).alias("trg"))
+    src = src.select("line_no", "j", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("all")).alias("src"), F.posexplode(T.marked_words(F.col("trg"))).alias("k", "word"))
+    return src.select("line_no", F.struct("j", "k").alias("pos"), "src", "word")

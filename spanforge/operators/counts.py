@@ -56,6 +56,17 @@ def add(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select("span", "token", "c") for t in tables]).groupBy("span", "token").agg(F.sum("c").alias("c"))
 
 
+def increase_all(counts: DataFrame, rows: DataFrame, value: float = 1) -> DataFrame:
+    """The table with `value` added to every (span, token) of rows (span, tokens), as often as a token stands in a row."""
+    more = rows.select("span", F.explode("tokens").alias("token"), F.lit(value).alias("c"))
+    return add(counts, more)
+
+
+def replace(counts: DataFrame, other: DataFrame) -> DataFrame:
+    """The cells of another table for the spans of this one (which stay the index)."""
+    return other.join(counts.select("span").distinct(), "span", "left_semi").select("span", "token", "c")
+
+
 def scale(counts: DataFrame, f) -> DataFrame:
     """Scalar arithmetic on every cell, e.g. scale(t, lambda c: c / 2)."""
     return counts.withColumn("c", f(F.col("c")))

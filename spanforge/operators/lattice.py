@@ -1,7 +1,8 @@
 """Lattice operators on words: best segmentation, expected counts, and the trainers built on them.
 
-A lattice input is a unit (src, word, n): equal inputs are searched once and weighted.  Recursions over positions are
-higher-order functions, so they stay in the JVM.
+A lattice input is a unit (src, word, n): equal inputs are searched once and weighted.  Sources are named by 128 hash bits
+(s1, s2) in every shuffle, so the token arrays move once.  Recursions over positions are higher-order functions, so they stay
+in the JVM.
 """
 
 from __future__ import annotations
@@ -15,73 +16,106 @@ from spanforge.operators import corpus
 from spanforge.operators import counts as C
 from spanforge.operators import scores as S
 
+SOURCE = ["s1", "s2"]
+EDGES = "array<struct<start:int,end:int,span:string,score:double>>"
+
 
 def let(x: Column, f) -> Column:
     """f of a value that is computed once, however often f uses it."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def edges(units: DataFrame, table: DataFrame, model: str, maxlen: int | None = None) -> DataFrame:
-    """(src, word, n, edges): the known spans of each word with their places and scores."""
-    each = units.select("src", "word", "n", F.explode(T.spans(F.col("word"), maxlen)).alias("s")).select("src", "word", "n", "s.*")
-    scored = each.join(S.score(model, each, table), ["src", "span"])
-    return scored.groupBy("src", "word").agg(F.first("n").alias("n"), F.collect_list(F.struct("start", "end", "span", "score")).alias("edges"))
+def named(df: DataFrame, src: Column | None = None) -> DataFrame:
+    """The frame with the name (s1, s2) of its source."""
+    src = F.col("src") if src is None else src
+    return df.withColumn("s1", F.xxhash64(src)).withColumn("s2", F.xxhash64(F.lit(1), src))
+
+
+def edges(units: DataFrame, sources: DataFrame, table: DataFrame, model: str, maxlen: int | None = None) -> DataFrame:
+    """(s1, s2, word, edges): the known spans of each word of units (s1, s2, word) with their places and scores; sources is (s1, s2, src)."""
+    key = [*SOURCE, "word"]
+    known = table.select("span").distinct()
+    each = units.select(*key, F.explode(T.spans(F.col("word"), maxlen)).alias("s")).select(*key, "s.*").join(known, "span", "left_semi")
+    scored = each.join(S.score(model, each, table, SOURCE, sources), [*SOURCE, "span"])
+    return scored.groupBy(*key).agg(F.collect_list(F.struct("start", "end", "span", "score")).alias("edges"))
 
 
 def _alphabet(table: DataFrame) -> DataFrame:
     return table.select(F.explode(F.split("span", "")).alias("ch")).where("ch <> ''").agg(F.array_join(F.collect_set("ch"), "").alias("alphabet"))  # one row, at most one entry per code point
 
 
-def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None, inclusive: bool = False, nonfinite: str = "table_min") -> DataFrame:
-    """(src, word, n, loss, tokens): best segmentation of each word given its source.
+def _finite(s: Column) -> Column:
+    return ~F.isnan(s) & (s > float("-inf")) & (s < float("inf"))
+
+
+def search(units: DataFrame, sources: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None, inclusive: bool = False, nonfinite: str = "table_min") -> DataFrame:
+    """(s1, s2, word, loss, tokens): best segmentation of each distinct unit (s1, s2, word).
 
     nonfinite: a known span without a finite score gets the least count of the table ('table_min') or is no edge ('floor').
-    inclusive: spans up to maxlen; else, as published, up to maxlen - 1.  Ties go to the shortest last span.  A character
-    outside the alphabet, or a place no edge reaches, is one token and resets the score to 0."""
+    inclusive: spans up to maxlen; else, as published, up to maxlen - 1.  Scores that agree in nine digits are ties, which go
+    to the shortest last span.  A character outside the alphabet, or a place no edge reaches, is one token and resets the score to 0."""
     longest = None if maxlen is None else maxlen if inclusive else maxlen - 1
+    key = [*SOURCE, "word"]
     low = F.broadcast(table.agg(F.min("c").cast("double").alias("low")))
-    known = edges(units, table, model, longest) if longest != 0 else None
-    base = units.select("src", "word", "n")
-    if known is not None:
-        base = base.join(known.select("src", "word", "edges"), ["src", "word"], "left")
+    base = units.select(*key)
+    if longest != 0:
+        base = base.join(edges(units, sources, table, model, longest), key, "left")
     else:
-        base = base.withColumn("edges", F.lit(None).cast("array<struct<start:int,end:int,span:string,score:double>>"))
+        base = base.withColumn("edges", F.lit(None).cast(EDGES))
     base = base.crossJoin(low).crossJoin(F.broadcast(_alphabet(table)))
-    finite = lambda s: ~F.isnan(s) & (s > float("-inf")) & (s < float("inf"))
     if nonfinite == "table_min":
-        e = F.transform("edges", lambda x: F.struct(x["start"].alias("i"), x["end"].alias("j"), F.when(finite(x["score"]), x["score"]).otherwise(F.col("low")).alias("s")))
+        e = F.transform("edges", lambda x: F.struct(x["start"].alias("i"), x["end"].alias("j"), F.when(_finite(x["score"]), x["score"]).otherwise(F.col("low")).alias("s")))
     else:
-        e = F.transform(F.filter("edges", lambda x: finite(x["score"])), lambda x: F.struct(x["start"].alias("i"), x["end"].alias("j"), x["score"].alias("s")))
+        e = F.transform(F.filter("edges", lambda x: _finite(x["score"])), lambda x: F.struct(x["start"].alias("i"), x["end"].alias("j"), x["score"].alias("s")))
     none = F.array().cast("array<struct<i:int,j:int,s:double>>")
-    base = base.withColumn("e", F.coalesce(e, none))
     state = "array<struct<best:double,size:int>>"
+    reset = F.struct(F.lit(0.0).alias("best"), F.lit(1).alias("size"))
 
-    def step(acc: Column, i: Column) -> Column:
-        ends = F.filter(F.col("e"), lambda x: x["j"] == i)
-        best = F.array_max(F.transform(ends, lambda x: F.struct((F.get(acc, x["i"])["best"] + x["s"]).alias("best"), (-(i - x["i"])).cast("int").alias("size"))))
+    def step(acc: Column, i: Column, ends: Column) -> Column:
+        best = F.array_max(F.transform(ends, lambda x: let(F.get(acc, x["i"])["best"] + x["s"], lambda v: F.struct(F.round(v, 9).alias("r"), (x["i"] - i).cast("int").alias("size"), v.alias("best")))))
         known = F.col("alphabet").contains(F.substring(F.col("word"), i, F.lit(1)))
-        reset = F.struct(F.lit(0.0).alias("best"), F.lit(1).alias("size"))
         cell = let(F.when(known, best), lambda b: F.when(b.isNotNull(), F.struct(b["best"].alias("best"), (-b["size"]).cast("int").alias("size"))).otherwise(reset))
         return F.array_append(acc, cell)
 
-    table_ = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("size"))).cast(state), step)
-    done = base.select("src", "word", "n", table_.alias("b"))
+    places = F.sequence(F.lit(1), F.length("word"))
+    start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("size"))).cast(state)
+    table_ = let(F.coalesce(e, none), lambda e: F.aggregate(places, start, lambda acc, i: step(acc, i, F.filter(e, lambda x: x["j"] == i))))
+    done = base.select(*key, table_.alias("b"))
 
     def back(acc: Column, i: Column) -> Column:
         at = F.length("word") - i + 1
-        return F.when(acc["at"] == at, F.struct((at - F.get("b", at)["size"]).cast("int").alias("at"), F.array_prepend(acc["toks"], F.substring(F.col("word"), at - F.get("b", at)["size"] + 1, F.get("b", at)["size"])).alias("toks"))).otherwise(acc)
+        size = F.get("b", at)["size"]
+        return F.when(acc["at"] == at, let(size, lambda z: F.struct((at - z).cast("int").alias("at"), F.array_prepend(acc["toks"], F.substring(F.col("word"), at - z + 1, z)).alias("toks")))).otherwise(acc)
+
+    begin = F.struct(F.length("word").cast("int").alias("at"), F.array().cast("array<string>").alias("toks"))
+    toks = F.aggregate(places, begin, back, lambda a: a["toks"])
+    return done.select(*key, F.element_at("b", -1)["best"].alias("loss"), toks.alias("tokens"))
 
-    start = F.struct(F.length("word").cast("int").alias("at"), F.array().cast("array<string>").alias("toks"))
-    toks = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, back, lambda a: a["toks"])
-    return done.select("src", "word", "n", F.element_at("b", -1)["best"].alias("loss"), toks.alias("tokens"))
+
+def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None, inclusive: bool = False, nonfinite: str = "table_min") -> DataFrame:
+    """(src, word, n, loss, tokens): best segmentation of each unit, see search."""
+    u = named(units)
+    got = search(u, u.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, maxlen, inclusive, nonfinite)
+    return u.join(got, [*SOURCE, "word"]).select("src", "word", "n", "loss", "tokens")
 
 
 def tokenize(pairs: DataFrame, table: DataFrame, model: str = "cond-exact", **kw) -> DataFrame:
-    """(line_no, tokens, loss): every line, segmented word by word; distinct (src, word) are searched once."""
+    """(line_no, tokens, loss): every line, segmented word by word given its whole source; distinct (src, word) are searched once."""
     src = F.array().cast("array<string>") if model in S.UNPAIRED else F.col("src")  # without a source, a word is searched once in all
-    each = pairs.select("line_no", src.alias("src"), F.posexplode(T.marked_words(F.col("trg"))).alias("pos", "word"))
-    best = viterbi(each.groupBy("src", "word").agg(F.count("*").alias("n")), table, model, **kw)
-    got = each.join(best.select("src", "word", "loss", "tokens"), ["src", "word"])
+    lines = named(pairs.select("line_no", src.alias("src"), T.marked_words(F.col("trg")).alias("ws")))
+    words = lines.select("line_no", *SOURCE, F.posexplode("ws").alias("pos", "word"))
+    return _joined_lines(pairs, words, lines.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, **kw)
+
+
+def tokenize_words(pairs: DataFrame, words: DataFrame, table: DataFrame, model: str = "cond-exact", **kw) -> DataFrame:
+    """(line_no, tokens, loss) of lines whose words (line_no, pos, src, word) have sources of their own."""
+    w = named(words)
+    return _joined_lines(pairs, w.select("line_no", "pos", *SOURCE, "word"), w.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, **kw)
+
+
+def _joined_lines(pairs: DataFrame, words: DataFrame, sources: DataFrame, table: DataFrame, model: str, **kw) -> DataFrame:
+    best = search(words.select(*SOURCE, "word").distinct(), sources, table, model, **kw)
+    got = words.join(best, [*SOURCE, "word"])
     lines = got.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("ws"), F.sum("loss").alias("loss"))
     lines = lines.select("line_no", F.flatten(F.transform("ws", lambda x: x["tokens"])).alias("tokens"), "loss")
     return pairs.select("line_no").join(lines, "line_no", "left").select("line_no", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), F.coalesce("loss", F.lit(0.0)).alias("loss"))
@@ -89,23 +123,27 @@ def tokenize(pairs: DataFrame, table: DataFrame, model: str = "cond-exact", **kw
 
 def expected_counts(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None) -> DataFrame:
     """(span, token, c): expected use of each span, by forward and backward sums over the lattice, weights softmax-normalised over the whole lattice."""
-    e = edges(units, table, model, maxlen)
+    u = named(units)
+    key = [*SOURCE, "word"]
+    e = edges(u.select(*key), u.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, maxlen)
     finite = F.filter("edges", lambda x: ~F.isnan(x["score"]) & (x["score"] > float("-inf")))
     alone = F.filter(F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.struct(i.cast("int").alias("start"), (i + 1).cast("int").alias("end"), F.substring(F.col("word"), i + 1, F.lit(1)).alias("span"), F.lit(0.0).alias("score"))),
                      lambda x: ~F.exists("edges", lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"])))
-    base = units.select("src", "word", "n").join(e.select("src", "word", "edges"), ["src", "word"], "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,end:int,span:string,score:double>>")))
+    base = u.select("src", "word", "n", *SOURCE).join(e, key, "left").withColumn("edges", F.coalesce("edges", F.array().cast(EDGES)))
     base = base.withColumn("all", F.concat(finite, alone))
     top = F.array_max(F.transform("all", lambda x: x["score"]))
     base = base.withColumn("top", top).withColumn("z", F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x["score"] - F.col("top"))))
-    base = base.withColumn("all", F.transform("all", lambda x: F.struct(x["start"].alias("i"), x["end"].alias("j"), x["span"].alias("span"), (F.exp(x["score"] - F.col("top")) / F.col("z")).alias("w"))))
+    weighed = F.transform("all", lambda x: F.struct(x["start"].alias("i"), x["end"].alias("j"), x["span"].alias("span"), (F.exp(x["score"] - F.col("top")) / F.col("z")).alias("w")))
     one = F.array(F.lit(1.0))
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    alpha = F.aggregate(F.sequence(F.lit(1), F.length("word")), one, lambda acc, j: F.array_append(acc, total(F.filter("all", lambda x: x["j"] == j), lambda x: F.get(acc, x["i"]) * x["w"])))
-    n = F.length("word")  # beta is built from the end: entry k belongs to place n - k
-    beta = F.aggregate(F.sequence(F.lit(1), n), one, lambda acc, k: F.array_append(acc, total(F.filter("all", lambda x: x["i"] == n - k), lambda x: F.get(acc, n - x["j"]) * x["w"])))
-    used = base.select("src", "n", "all", alpha.alias("a"), beta.alias("b"), F.length("word").alias("len"))
-    each = used.select("src", "n", F.explode(F.transform("all", lambda x: F.struct(x["span"].alias("span"), (x["w"] * F.get("a", x["i"]) * F.get("b", F.col("len") - x["j"])).alias("p")))).alias("u"))
-    return each.where("size(src) > 0").select(F.col("u.span").alias("span"), F.explode("src").alias("token"), (F.col("n") * F.col("u.p") / F.size("src")).alias("c")).join(table.select("span").distinct(), "span", "left_semi").groupBy("span", "token").agg(F.sum("c").alias("c"))
+    n = F.length("word")
+    places = F.sequence(F.lit(1), n)
+    alpha = lambda es: F.aggregate(places, one, lambda acc, j: F.array_append(acc, total(F.filter(es, lambda x: x["j"] == j), lambda x: F.get(acc, x["i"]) * x["w"])))
+    # beta is built from the end: entry k belongs to place n - k
+    beta = lambda es: F.aggregate(places, one, lambda acc, k: F.array_append(acc, total(F.filter(es, lambda x: x["i"] == n - k), lambda x: F.get(acc, n - x["j"]) * x["w"])))
+    used = lambda es: let(alpha(es), lambda a: let(beta(es), lambda b: F.transform(es, lambda x: F.struct(x["span"].alias("span"), (x["w"] * F.get(a, x["i"]) * F.get(b, n - x["j"])).alias("p")))))
+    each = base.where("size(src) > 0").select("src", "n", F.explode(let(weighed, used)).alias("u"))
+    return each.select(F.col("u.span").alias("span"), F.explode("src").alias("token"), (F.col("n") * F.col("u.p") / F.size("src")).alias("c")).join(table.select("span").distinct(), "span", "left_semi").groupBy("span", "token").agg(F.sum("c").alias("c"))
 
 
 def hard_counts(best: DataFrame) -> DataFrame:
@@ -113,26 +151,51 @@ def hard_counts(best: DataFrame) -> DataFrame:
     return best.select("src", "n", F.explode("tokens").alias("span")).select("n", "span", F.explode("src").alias("token")).groupBy("span", "token").agg(F.sum("n").alias("c"))
 
 
-def train(pairs: DataFrame, vocab_size: int, model: str = "cond-exact", method: str = "em", n_iter: int = 2, n_sub_iter: int = 1, reduce: float = 0.75, coverage: float = 1.0, maxlen: int | None = None, least: int = 0, spans: DataFrame | None = None) -> DataFrame:
-    """The trained count table.  em: the segmentations' counts are added to the table; mc: expected counts replace it.  Each step is written, so lineage stays short and a lost executor costs one step."""
+def initial_spans(pairs: DataFrame, vocab_size: int, runs: int = 3, p: float = 0.5, seed: int = 0, maxlen: int | None = None, least: int = 0) -> DataFrame:
+    """(span): union of the spans that unpaired training leaves on samples of the lines, a sample dropping each line with probability p.
+
+    Where a sample is too small for vocab_size spans, all it has are kept, so no run has to be started again."""
+    out = None
+    for r in range(runs):
+        table = train(corpus.dropout(pairs, p, seed + r), vocab_size, "sum-unpaired", "em", n_iter=1, maxlen=maxlen, least=least)
+        spans = table.select("span").distinct()
+        out = spans if out is None else out.union(spans)
+    return out.distinct()
+
+
+def train(pairs: DataFrame, vocab_size: int, model: str = "cond-exact", method: str = "em", n_iter: int = 2, n_sub_iter: int = 1, reduce: float = 0.75, coverage: float = 1.0, maxlen: int | None = None, least: int = 0, spans: DataFrame | None = None, losses: list[float] | None = None) -> DataFrame:
+    """The trained count table.  em: the segmentations' counts are added to the table; mc: expected counts replace it.  Each step is written, so lineage stays short and a lost executor costs one step.
+
+    losses: gets the average loss of a unit in each em step.  maxlen falls to the longest span that is left."""
     keep = spans if spans is not None else corpus.threshold(corpus.span_counts(pairs, maxlen), least) if least else None
     table = materialise(C.cooccurrence(pairs, maxlen, keep), "counts")
     if coverage < 1:
         table = materialise(S.prune_characters(table, coverage), "counts")
     units = materialise(corpus.paired_words(pairs), "units")
-    n = table.select("span").distinct().count()
+
+    def size(t: DataFrame) -> tuple[int, int | None]:
+        """(spans, length of the longest) in one pass."""
+        r = t.agg(F.count_distinct("span"), F.max(F.length("span"))).first()
+        return r[0], r[1] if maxlen is not None else None
+
+    n, longest = size(table)
     vocab_size = min(vocab_size, n)
 
     def step(t: DataFrame) -> DataFrame:
         if method == "em":
             known = t.select("span").distinct()
-            return materialise(C.add(t.withColumn("c", F.col("c").cast("double")), hard_counts(viterbi(units, t, model, maxlen)).join(known, "span", "left_semi").withColumn("c", F.col("c").cast("double"))), "counts")
-        return materialise(expected_counts(units, t, model, maxlen), "counts")
+            best = viterbi(units, t, model, longest)
+            if losses is not None:
+                best = materialise(best, "best")
+                losses.append(best.agg(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).first()[0])
+            return materialise(C.add(t.withColumn("c", F.col("c").cast("double")), hard_counts(best).join(known, "span", "left_semi").withColumn("c", F.col("c").cast("double"))), "counts")
+        return materialise(expected_counts(units, t, model, longest), "counts")
 
     for i in range(1, n_iter * n_sub_iter + 1):
         table = step(table)
         if i % n_sub_iter == 0:
             table = materialise(S.prune(table, vocab_size, reduce), "counts")
-            if table.select("span").distinct().count() <= vocab_size:
+            n, longest = size(table)
+            if n <= vocab_size:
                 break
     return step(table)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanforge.common import small
 from spanforge.functions.math import digamma, log
 from spanforge.operators import counts as C
 
@@ -17,22 +18,30 @@ def _with_norm(df: DataFrame, table: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(C.norm(table)))  # one row
 
 
-def score(model: str, units: DataFrame, table: DataFrame) -> DataFrame:
-    """(src, span, score) for distinct (src, span) of units whose span the table knows; minus infinity where no source token co-occurs."""
-    pairs = units.select("src", "span").distinct()
-    cs = table.groupBy("span").agg(F.sum("c").alias("cs"), F.max("c").alias("cm"))
+def score(model: str, units: DataFrame, table: DataFrame, key: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(*key, span, score) for distinct (key, span) of units whose span the table knows; minus infinity where no source token co-occurs.
+
+    key names the source of a unit and sources gives its tokens (*key, src), once each; without them the tokens themselves are
+    the key.  What hangs on the source alone (the sum of its tokens) is found once a source, and only cells that there are enter the sums."""
+    key = key or ["src"]
+    pairs = units.select(*key, "span").distinct()
+    cs = small(table.groupBy("span").agg(F.sum("c").alias("cs"), F.max("c").alias("cm")))
     if model in UNPAIRED:
         x = F.col("cm" if model.startswith("max") else "cs")
-        return _with_norm(pairs.join(cs, "span"), table).select("src", "span", (digamma(x) - log(F.col("norm"))).alias("score"))
+        return _with_norm(pairs.join(cs, "span"), table).select(*key, "span", (digamma(x) - log(F.col("norm"))).alias("score"))
     if model not in PAIRED:
         raise ValueError(f"no model {model}")
-    src = F.array_distinct("src") if model == "cpmi" else F.col("src")
-    each = pairs.join(cs.select("span", "cs"), "span").select("src", "span", "cs", F.explode_outer(src).alias("token"))
-    each = each.join(table.select("span", "token", "c"), ["span", "token"], "left").join(C.by_token(table), "token", "left")
-    each = _with_norm(each, table).withColumn("one", log(F.col("c")) - log(F.col("cs")) - log(F.col("ct")) + log(F.col("norm"))).withColumn("cond", log(F.col("c")) - log(F.col("ct")))
-    g = each.groupBy("src", "span").agg(
-        F.coalesce(F.sum("c"), F.lit(0)).alias("sc"), F.coalesce(F.max("c"), F.lit(0)).alias("mc"), F.coalesce(F.sum("ct"), F.lit(0)).alias("sct"),
-        F.max("one").alias("one"), F.max("cond").alias("cond"), F.first("norm").alias("norm"))
+    sources = units.select("src").distinct() if sources is None else sources
+    tokens = F.array_distinct("src") if model == "cpmi" else F.col("src")
+    each = sources.select(*key, F.explode(tokens).alias("token"))
+    ct = small(C.by_token(table))
+    of_source = each.join(ct, "token").groupBy(*key).agg(F.sum("ct").alias("sct"))
+    cells = table.select("span", "token", "c").join(ct, "token").join(cs.select("span", "cs"), "span")
+    hits = pairs.join(each, key).join(cells, ["span", "token"])
+    hits = _with_norm(hits, table).withColumn("one", log(F.col("c")) - log(F.col("cs")) - log(F.col("ct")) + log(F.col("norm"))).withColumn("cond", log(F.col("c")) - log(F.col("ct")))
+    g = hits.groupBy(*key, "span").agg(F.sum("c").alias("sc"), F.max("c").alias("mc"), F.max("one").alias("one"), F.max("cond").alias("cond"))
+    g = pairs.join(cs.select("span"), "span", "left_semi").join(g, [*key, "span"], "left").join(of_source, key, "left")
+    g = _with_norm(g, table).withColumn("sc", F.coalesce("sc", F.lit(0))).withColumn("mc", F.coalesce("mc", F.lit(0))).withColumn("sct", F.coalesce("sct", F.lit(0)))
     low = F.lit(float("-inf"))
     out = {
         "max": digamma(F.col("mc")) - log(F.col("norm")),
@@ -41,12 +50,12 @@ def score(model: str, units: DataFrame, table: DataFrame) -> DataFrame:
         "pmi": F.coalesce("one", low),
         "cpmi": F.when(F.col("sc") > 0, F.col("cond") - log(F.col("sc")) + log(F.col("sct"))).otherwise(low),
     }[model]
-    return g.select("src", "span", out.alias("score"))
+    return g.select(*key, "span", out.alias("score"))
 
 
 def cell_score(model: str, table: DataFrame) -> DataFrame:
     """(span, token, score) of every cell: the score of a pair of one span and one token."""
-    t = table.where("c > 0").select("span", "token", "c").join(C.by_token(table), "token").join(C.by_span(table), "span")
+    t = table.where("c > 0").select("span", "token", "c").join(small(C.by_token(table)), "token").join(small(C.by_span(table)), "span")
     t = _with_norm(t, table)
     pmi: Column = log(F.col("c")) - log(F.col("cs")) - log(F.col("ct")) + log(F.col("norm"))
     s = {"max": F.col("c").cast("double"), "sum": F.col("c").cast("double"), "cond-exact": C.ratio(F.col("c"), F.col("ct")), "pmi": pmi, "cpmi": pmi}[model]
@@ -80,7 +89,7 @@ def align(model: str, units: DataFrame, table: DataFrame) -> DataFrame:
 
 def information(table: DataFrame) -> DataFrame:
     """(span, info): mutual information each span of two or more characters carries."""
-    t = table.where("length(span) > 1 and c > 0").join(C.by_token(table), "token").join(C.by_span(table), "span")
+    t = table.where("length(span) > 1 and c > 0").join(small(C.by_token(table)), "token").join(small(C.by_span(table)), "span")
     t = _with_norm(t, table).where("ct > 0")
     one = F.col("c") * (log(F.col("c")) - log(F.col("ct")) - log(F.col("cs")) + log(F.col("norm"))) / F.col("norm")
     return t.groupBy("span").agg(F.sum(one).alias("info"))

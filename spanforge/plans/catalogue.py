@@ -1,7 +1,7 @@
 """Registry of the queries of the core with their DuckDB oracles.
 
-Queries run over their whole tables but for vocab_merge, vocab_overlap and lexical_step, which follow their SQL (see *_all).
-Counts are built on the aligned word pairs (a line is one pair of words), with spans of up to MAXLEN characters kept from
+Queries run over their whole tables.  Counts are built on the aligned word pairs (a line is one pair of words; sentence_counts and
+tokenize_* take whole sentence pairs), with spans of up to MAXLEN characters kept from
 LEAST occurrences: a cut of the published configuration, which has neither limit (README)."""
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def freq(s: SparkSession, d: str) -> DataFrame:
 
 
 def counts(s: SparkSession, d: str) -> DataFrame:
-    a = aligned(s, d)
+    a = materialise(aligned(s, d), "aligned")
     return C.cooccurrence(a, MAXLEN, corpus.threshold(corpus.span_counts(a, MAXLEN), LEAST))
 
 
@@ -70,11 +70,6 @@ def vocabs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "vocab").where("vocab is not null").select("export_id", F.col("vocab").alias("token"), F.col("id").cast("long").alias("id"))
 
 
-def vocab_pair(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v = vocabs(s, d)
-    return v.where("export_id = 1"), v.where("export_id = 2")
-
-
 def _scan(s, d):
     df = sources.scrub(sources.scrub(corpus.lines(s, d), "src"), "trg", " ")
     return df.select("line_no", "src", "trg")
@@ -89,6 +84,10 @@ def _score(kind: str) -> Query:
     return lambda s, d: rounded(joined(S.score(kind, units(s, d), model(s, d)).where(F.col("score") > float("-inf"))))
 
 
+def _extract(kind: str) -> Query:
+    return lambda s, d: rounded(S.extract(kind, model(s, d), 3))
+
+
 def _align(kind: str) -> Query:
     return lambda s, d: rounded(joined(S.align(kind, units(s, d), model(s, d))))
 
@@ -107,11 +106,42 @@ def _word_lines(s, d):
 
 
 def _lexical(s, d):
-    return _lexical_of(pairs(s, d).join(table(s, d, "alignment").select("line_no").distinct(), "line_no", "left_semi"))
+    p = pairs(s, d).select("line_no", F.array_distinct("src").alias("s"), F.array_distinct(T.marked_words(F.col("trg"))).alias("t"))
+    return rounded(A.lexical_step(p), 8)
+
+
+def _align_words(s, d):
+    """Links of the word-to-word translations of the development lines, by models of those lines in both directions."""
+    cut = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\r\\n]+"), lambda x: x != "")
+    rows = table(s, d, "paired_sp_train").where("split = 'dev' and src is not null and trg is not null")
+    links = A.align_words(rows.select("line_no", cut("src").alias("s"), cut("trg").alias("t")), 3)
+    return links.select("line_no", F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["si"], x["ti"])), " ").alias("links"))
+
+
+def sentence_model(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(prepared lines, count table of whole sentence pairs), spans from one occurrence per LINES_PER lines."""
+    p = materialise(pairs(s, d), "pairs")
+    keep = corpus.threshold(corpus.span_counts(p, MAXLEN), max(2, p.count() // O.LINES_PER))
+    return p, materialise(C.cooccurrence(p, MAXLEN, keep), "counts")
 
 
-def _lexical_of(p: DataFrame) -> DataFrame:
-    return rounded(A.lexical_step(p.select("line_no", F.array_distinct("src").alias("s"), F.array_distinct(T.marked_words(F.col("trg"))).alias("t"))), 10)
+def _paired(s, d):
+    p, t = sentence_model(s, d)
+    got = lattice.tokenize(p, t, "cond-exact", maxlen=MAXLEN, inclusive=True)
+    return rounded(joined(got.where("size(tokens) > 0")), 4)
+
+
+def _aligned_tokens(s, d):
+    p, t = sentence_model(s, d)
+    w = corpus.words_with_sources(corpus.lines(s, d), table(s, d, "alignment"))
+    return rounded(joined(lattice.tokenize_words(p, w, t, "cond-exact", maxlen=MAXLEN, inclusive=True)), 4)
+
+
+def _paired_metrics(s, d):
+    """Metrics of the segmentation of whole sentence pairs."""
+    p, t = sentence_model(s, d)
+    got = lattice.tokenize(p, t, "cond-exact", maxlen=MAXLEN, inclusive=True).join(p.select("line_no", F.size("src").alias("w")), "line_no")
+    return rounded(M.token_metrics(got.select("tokens", "w"), F.col("w"), t.select("span").distinct().count()))
 
 
 def _symmetrise(s, d):
@@ -132,6 +162,13 @@ def _decode(s, d):
     return codec.decode(codec.encode(t, v, bos=1, eos=2), v)
 
 
+def _token_ids(s, d):
+    """The id of every distinct token of all exports in the first export of its pair's order, 0 where it has none."""
+    v = vocabs(s, d)
+    first = v.where("export_id = 1").groupBy("token").agg(F.min("id").alias("id"))
+    return codec.token_ids(v.select("token").distinct(), first)
+
+
 def _lm(s, d):
     w = pairs(s, d).select("line_no", F.array_join("src", " ").alias("t"), "src")
     each = w.select("line_no", F.explode("src").alias("w"))
@@ -141,11 +178,6 @@ def _lm(s, d):
     return rounded(M.lm_metrics(samples), 4)
 
 
-def _overlap(s, d):
-    a, b = vocab_pair(s, d)
-    return rounded(M.vocab_overlap(a, b))
-
-
 def _metrics(s, d):
     return table(s, d, "intrinsic_metrics")
 
@@ -156,8 +188,10 @@ def _tok(s, d):
 
 
 def _in_alphabet(s, d):
-    chars = F.broadcast(corpus.alphabet(freq(s, d)).agg(F.collect_set("char").alias("a")))  # one row, at most one entry per code point
-    w = corpus.word_counts(pairs(s, d)).crossJoin(chars)
+    """Whether a word has characters of 10 * LEAST occurrences or more alone."""
+    f = materialise(freq(s, d), "freq")
+    chars = F.broadcast(f.where(f"length(span) = 1 and freq >= {10 * LEAST}").agg(F.collect_set("span").alias("a")))  # one row, at most one entry per code point
+    w = corpus.word_counts(aligned(s, d)).crossJoin(chars)
     return w.select("word", "n", F.forall(F.filter(F.split("word", ""), lambda x: x != ""), lambda x: F.array_contains("a", x)).alias("known"))
 
 
@@ -188,6 +222,9 @@ QUERIES: dict[str, Query] = {
     "count_marginals": lambda s, d: C.marginals(counts(s, d)),
     "count_minmax": lambda s, d: C.extremes(counts(s, d), "span"),
     "table_add": lambda s, d: (lambda t: C.add(t, t.where("c >= 10")))(model(s, d)),
+    "table_increase": lambda s, d: (lambda t: C.increase_all(t, t.where("c >= 100").select("span", F.array("token", "token").alias("tokens"))))(model(s, d)),
+    "table_replace": lambda s, d: (lambda t: C.replace(t.where("length(span) = 1"), t))(model(s, d)),
+    "token_ids": _token_ids,
     "table_scale": lambda s, d: rounded(C.scale(counts(s, d), lambda c: c * 3 / 2)),
     "table_upsert": lambda s, d: (lambda t: C.upsert(t, t.where("c = 1").withColumn("c", F.lit(5).cast("long"))))(model(s, d)),
     "sparsity": lambda s, d: rounded(C.sizes(model(s, d)), 9),
@@ -196,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "reindex": lambda s, d: C.index(model(s, d), "span", "span_id"),
     **{f"score_{m.replace('-', '_')}": _score(m) for m in (*S.PAIRED, *S.UNPAIRED)},
     **{f"align_{m.replace('-', '_')}": _align(m) for m in S.PAIRED},
+    **{f"extract_{m}": _extract(m) for m in ("max", "pmi")},
     "extract_topk": lambda s, d: rounded(S.extract("cond-exact", model(s, d), 3)),
     "information": lambda s, d: rounded(S.information(model(s, d)), 9),
     "prune_information": lambda s, d: rounded(S.least_informative(model(s, d), 1000, 0.25), 9),
@@ -212,20 +250,24 @@ QUERIES: dict[str, Query] = {
     "phrase_pairs": lambda s, d: A.phrases(corpus.lines(s, d), table(s, d, "alignment")),
     "link_symmetrise": _symmetrise,
     "lexical_step": _lexical,
-    "lexical_step_all": lambda s, d: _lexical_of(pairs(s, d)),
+    "word_alignment": _align_words,
+    "sentence_counts": lambda s, d: sentence_model(s, d)[1],
+    "tokenize_paired": _paired,
+    "tokenize_aligned": _aligned_tokens,
+    "paired_metrics": _paired_metrics,
     "vocab_export": lambda s, d: codec.export_vocab(s, corpus.threshold(freq(s, d), LEAST)),
     "encode_ids": _encode,
     "decode_ids": _decode,
-    "vocab_merge": lambda s, d: codec.merge_vocabs(*vocab_pair(s, d)),
-    "vocab_merge_all": lambda s, d: codec.merge_all(vocabs(s, d)),
+    "vocab_merge": lambda s, d: codec.merge_all(vocabs(s, d)),
     "token_metrics": _tok,
-    "vocab_overlap": _overlap,
-    "vocab_overlap_all": lambda s, d: rounded(M.vocab_overlaps(vocabs(s, d))),
+    "vocab_overlap": lambda s, d: rounded(M.vocab_overlaps(vocabs(s, d))),
     "lm_metrics": _lm,
     "cell_mean": lambda s, d: rounded(M.cells(_metrics(s, d))),
     "parity_ratio": lambda s, d: rounded(M.parity(_metrics(s, d))),
     "renyi_ratio": lambda s, d: rounded(M.ratio(_metrics(s, d), "renyi")),
     "length_ratio": lambda s, d: rounded(M.ratio(_metrics(s, d), "length")),
+    "ratio_matrix": lambda s, d: rounded(M.both_ratios(_metrics(s, d), "renyi")),
+    "metric_grid": lambda s, d: rounded(M.on_grid(_metrics(s, d), M.grid(s, pair=["fra-ita", "ita-fra", "ces-ukr", "ukr-ces"], size=[100000, 500000], vocab=[8000, 16000, 32000], alignment=["align"], model=["unigram", "cond-exact"]))),
     "metric_pivot": lambda s, d: rounded(M.pivot(_metrics(s, d), "fertility", [8000, 16000, 32000])),
     "metric_trend": lambda s, d: rounded(M.trend(_metrics(s, d), "renyi")),
     "linear_extrapolation": lambda s, d: rounded(M.linear_extrapolation(_metrics(s, d), "renyi"), 5),

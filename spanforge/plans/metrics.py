@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,6 +80,27 @@ def ratio(metrics: DataFrame, value: str, baseline: str = "unigram") -> DataFram
     return c.where(F.col("model") != baseline).join(base, ["pair", "size", "vocab", "alignment"]).select(*KEYS, F.when(F.col("base") != 0, F.col(value) / F.col("base")).alias("ratio"))
 
 
+def grid(spark: SparkSession, **axes: list) -> DataFrame:
+    """Every combination of the values of each axis (experiment keys, a few hundred rows)."""
+    rows = list(itertools.product(*axes.values()))
+    return spark.createDataFrame(rows, list(axes))
+
+
+def on_grid(metrics: DataFrame, keys: DataFrame) -> DataFrame:
+    """The mean metrics of every experiment of a grid, null where it is missing."""
+    return keys.join(cells(metrics), keys.columns, "left")
+
+
+def both_ratios(metrics: DataFrame, value: str, baseline: str = "unigram") -> DataFrame:
+    """A metric over the baseline's for the same pair (ratio_src) and for the inverse pair (ratio_trg)."""
+    c = cells(metrics)
+    at = ["pair", "size", "vocab", "alignment"]
+    base = c.where(F.col("model") == baseline).select(*at, F.col(value).alias("b"))
+    own, other = base.withColumnRenamed("b", "src"), base.withColumn("pair", inverse("pair")).withColumnRenamed("b", "trg")
+    safe = lambda b: F.when(F.col(b) != 0, F.col(value) / F.col(b))
+    return c.where(F.col("model") != baseline).join(own, at, "left").join(other, at, "left").select(*KEYS, safe("src").alias("ratio_src"), safe("trg").alias("ratio_trg"))
+
+
 def pivot(metrics: DataFrame, value: str, vocabs: list[int]) -> DataFrame:
     """pair x model x size by vocabulary size."""
     p = cells(metrics).groupBy("pair", "alignment", "model", "size").pivot("vocab", vocabs).agg(F.avg(value))

@@ -24,7 +24,7 @@ def prep(source: str) -> str:
     nf(c, d) AS (VALUES {_forms()}),
     odd AS (SELECT t, nfc_normalize(string_agg(coalesce(d, ch), '' ORDER BY i)) AS u
       FROM (SELECT t, i, substring(t, i, 1) AS ch FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM texts WHERE NOT regexp_matches(t, '{STABLE}'))) LEFT JOIN nf ON ch = c GROUP BY t),
-    prep AS MATERIALIZED (SELECT t, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(u, t), '[\\p{{Zl}}\\p{{Zp}}\\p{{Cc}}\\p{{Cf}}\\p{{Co}}]', '', 'g'),
+    prep AS MATERIALIZED (SELECT t, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(u, t), '[\\r\\n]+', ' ', 'g'), '[\\p{{Zl}}\\p{{Zp}}\\p{{Cc}}\\p{{Cf}}\\p{{Co}}]', '', 'g'),
       '([0-9]+)', ' \\1 ', 'g'), '{SYMBOL}', ' \\1 ', 'g'), '\\p{{Z}}+', ' ', 'g')) AS p FROM texts LEFT JOIN odd USING (t))"""
 
 
@@ -72,6 +72,70 @@ UNITS = (
 )
 UNIQUE = """, ud AS (SELECT src, span, sum(c) AS sc, sum(ct) AS sct, max(ln(c) - ln(ct)) AS cond FROM (SELECT DISTINCT src, span, token, c, ct FROM uc) GROUP BY 1, 2)
 """
+SEARCH = """,
+  r AS (SELECT uid, word, 0 AS i, [CAST(0 AS DOUBLE)] AS b, [0] AS z FROM un_w
+    UNION ALL SELECT uid, any_value(word), any_value(i) + 1, list_append(any_value(b), coalesce(max(x).best, 0)), list_append(any_value(z), coalesce(-max(x).sz, 1))
+    FROM (SELECT r.uid, word, i, b, z, CASE WHEN ed.uid IS NOT NULL THEN {'r': round(b[s + 1] + score, 9), 'sz': CAST(s - e AS INTEGER), 'best': b[s + 1] + score} END AS x
+      FROM r LEFT JOIN ed ON r.uid = ed.uid AND e = r.i + 1 WHERE i < length(word)) GROUP BY uid),
+  bt AS (SELECT uid, word, b[length(word) + 1] AS loss, z, length(word) AS till, CAST([] AS VARCHAR[]) AS toks FROM r WHERE i = length(word)
+    UNION ALL SELECT uid, word, loss, z, till - z[till + 1], list_prepend(substring(word, till - z[till + 1] + 1, z[till + 1]), toks) FROM bt WHERE till > 0),
+  best AS MATERIALIZED (SELECT uid, word, loss, toks FROM bt WHERE till = 0)
+"""
+
+
+def _search(base: str, units: str, edges: str, longest: int) -> str:
+    """CTEs that end in best(uid, word, loss, toks): units (uid, word) and edges (uid, s, e, score) of at most `longest` characters."""
+    sql = base + f""", un_w AS MATERIALIZED ({units}), ed AS MATERIALIZED (SELECT * FROM ({edges}) WHERE e - s <= {longest}) {SEARCH}"""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _viterbi(longest: int) -> str:
+    edges = """SELECT uid, "start" AS s, "end" AS e, CASE WHEN sc > 0 THEN ln(sc) - ln(sct) ELSE low END AS score FROM pu JOIN ws USING (word) JOIN ug ON pu.src = ug.src AND ws.span = ug.span, (SELECT CAST(min(c) AS DOUBLE) AS low FROM k)"""
+    return _search(UNITS + ", pu AS MATERIALIZED (SELECT row_number() OVER () AS uid, src, word, n FROM pw)", "SELECT uid, word FROM pu", edges, longest)
+
+
+def _best(longest: int) -> str:
+    return _viterbi(longest) + "SELECT array_to_string(src, ' ') AS src, best.word, CAST(n AS BIGINT) AS n, round(loss, 6) + 0.0 AS loss, array_to_string(toks, ' ') AS tokens FROM best JOIN pu USING (uid)"
+
+
+# whole sentence pairs: spans from one occurrence per LINES_PER lines, counts of (span, token), every word given all tokens of its line
+LINES_PER = 4
+SENTENCES = LINES + f""", lu AS MATERIALIZED (SELECT DISTINCT src, unnest(ws) AS word FROM lw),
+  lwc AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM lw) GROUP BY 1),
+  lws AS MATERIALIZED (SELECT word, i - 1 AS "start", i - 1 + k AS "end", substring(word, i, k) AS span FROM (SELECT word, i, unnest(range(1, least(length(word) - i + 1, {MAXLEN}) + 1)) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM lwc))),
+  lfreq AS MATERIALIZED (SELECT span, CAST(sum(n) AS BIGINT) AS freq FROM lws JOIN lwc USING (word) GROUP BY 1),
+  lleast AS (SELECT greatest(2, count(*) // {LINES_PER}) AS least FROM pairs),
+  linv AS (SELECT count_if(length(span) >= 2 AND freq < least) > count_if(NOT (length(span) >= 2 AND freq < least)) AS inverted FROM lfreq, lleast),
+  lkept AS MATERIALIZED (SELECT span FROM lfreq, linv, lleast WHERE CASE WHEN inverted THEN freq > least OR length(span) = 1 ELSE NOT (length(span) >= 2 AND freq < least) END),
+  lwt AS (SELECT word, token, count(*) AS c FROM (SELECT word, unnest(list_distinct(src)) AS token FROM (SELECT src, unnest(ws) AS word FROM lw)) GROUP BY 1, 2),
+  lwm AS MATERIALIZED (SELECT word, span, count(*) AS m FROM lws WHERE span IN (SELECT span FROM lkept) GROUP BY 1, 2),
+  lk AS MATERIALIZED (SELECT span, token, CAST(sum(c * m) AS BIGINT) AS c FROM lwt JOIN lwm USING (word) GROUP BY 1, 2)
+"""
+_LUNITS = """, ls AS MATERIALIZED (SELECT row_number() OVER () AS sid, src FROM (SELECT DISTINCT src FROM {units})),
+  lp AS MATERIALIZED (SELECT row_number() OVER () AS uid, sid, word FROM (SELECT DISTINCT src, word FROM {units}) JOIN ls USING (src)),
+  lt AS MATERIALIZED (SELECT sid, unnest(src) AS token FROM ls), lct AS (SELECT token, sum(c) AS ct FROM lk GROUP BY 1), lst AS (SELECT sid, sum(ct) AS sct FROM lt JOIN lct USING (token) GROUP BY 1),
+  lq AS MATERIALIZED (SELECT DISTINCT sid, span FROM lp JOIN lwm USING (word)),
+  lsc AS MATERIALIZED (SELECT sid, span, sum(c) AS sc FROM lq JOIN lt USING (sid) JOIN lk USING (span, token) GROUP BY 1, 2)
+"""
+_LEDGES = """SELECT uid, "start" AS s, "end" AS e, CASE WHEN sc > 0 THEN ln(sc) - ln(sct) ELSE low END AS score FROM lp JOIN lws USING (word) JOIN (SELECT span FROM lkept) USING (span) LEFT JOIN lsc USING (sid, span) LEFT JOIN lst USING (sid), (SELECT CAST(min(c) AS DOUBLE) AS low FROM lk)"""
+
+
+def _expected() -> str:
+    base = UNITS + f""", pu AS MATERIALIZED (SELECT row_number() OVER () AS uid, src, word, n FROM pw),
+  e0 AS MATERIALIZED (SELECT uid, "start" AS s, "end" AS e, ws.span AS span, CASE WHEN sc > 0 THEN ln(sc) - ln(sct) END AS score FROM pu JOIN ws USING (word) JOIN ug ON pu.src = ug.src AND ws.span = ug.span),
+  e1 AS (SELECT uid, s, e, span, score FROM e0 WHERE score IS NOT NULL UNION ALL
+    SELECT uid, i - 1, i, substring(word, i, 1), 0 FROM (SELECT uid, word, unnest(range(1, length(word) + 1)) AS i FROM pu) WHERE (uid, i - 1) NOT IN (SELECT (uid, s) FROM e0 WHERE e = s + 1)),
+  tz AS (SELECT uid, max(score) AS top FROM e1 GROUP BY 1), zz AS (SELECT uid, any_value(top) AS top, sum(exp(score - top)) AS z FROM e1 JOIN tz USING (uid) GROUP BY 1),
+  ew AS MATERIALIZED (SELECT uid, s, e, span, exp(score - top) / z AS w FROM e1 JOIN zz USING (uid)),
+  fa AS (SELECT uid, word, 0 AS i, [CAST(1 AS DOUBLE)] AS a FROM pu UNION ALL SELECT uid, any_value(word), any_value(i) + 1, list_append(any_value(a), coalesce(sum(x), 0)) FROM
+    (SELECT fa.uid, word, i, a, a[s + 1] * w AS x FROM fa LEFT JOIN ew ON fa.uid = ew.uid AND e = i + 1 WHERE i < length(word)) GROUP BY uid),
+  fb AS (SELECT uid, word, 0 AS i, [CAST(1 AS DOUBLE)] AS b FROM pu UNION ALL SELECT uid, any_value(word), any_value(i) + 1, list_append(any_value(b), coalesce(sum(x), 0)) FROM
+    (SELECT fb.uid, word, i, b, b[length(word) - e + 1] * w AS x FROM fb LEFT JOIN ew ON fb.uid = ew.uid AND s = length(word) - i - 1 WHERE i < length(word)) GROUP BY uid)
+  SELECT span, token, round(sum(p), 6) + 0.0 AS c FROM (SELECT ew.span, unnest(src) AS token, n * w * a[s + 1] * b[length(pu.word) - e + 1] / len(src) AS p
+    FROM ew JOIN pu USING (uid) JOIN fa ON fa.uid = ew.uid AND fa.i = length(pu.word) JOIN fb ON fb.uid = ew.uid AND fb.i = length(pu.word) WHERE ew.span IN (SELECT span FROM cs)) GROUP BY 1, 2"""
+    return base.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 CELL = """, cell AS (SELECT span, token, c, c / ct AS cond, ln(c) - ln(cs) - ln(ct) + ln(norm) AS pmi FROM k JOIN ct USING (token) JOIN cs USING (span), nn)
 """
 
@@ -101,9 +165,6 @@ def _ratio(value: str) -> str:
     return CELLS + f"""SELECT c.pair, c.size, c.vocab, c.alignment, c.model, round(CASE WHEN b.{value} <> 0 THEN c.{value} / b.{value} END, 6) AS ratio FROM cells c JOIN base b ON c.pair = b.pair AND c.size = b.size AND c.vocab = b.vocab AND c.alignment = b.alignment WHERE c.model <> 'unigram'"""
 
 
-_VOCABS = """WITH a AS (SELECT vocab AS token, min(id) AS id FROM vocab WHERE export_id = 1 AND vocab IS NOT NULL GROUP BY 1),
-  b AS (SELECT vocab AS token, min(id) AS id FROM vocab WHERE export_id = 2 AND vocab IS NOT NULL GROUP BY 1)
-"""
 _LOG = "ln(CAST(size AS DOUBLE))"
 
 ORACLE: dict[str, str] = {
@@ -163,16 +224,49 @@ ORACLE: dict[str, str] = {
     SELECT span, token, c FROM k, gone WHERE NOT list_has_any(list_transform(range(1, length(span) + 1), lambda i: substring(span, i, 1)), coalesce(g, []))""",
     "word_pairs": WORD_LINKS + "SELECT line_no, si, ti, src_word, trg_word FROM aw",
     "lexical_step": LINES
-    + """, e AS (SELECT line_no, list_distinct(src) AS s, list_distinct(ws) AS t FROM lw WHERE line_no IN (SELECT line_no FROM alignment)),
+    + """, e AS (SELECT line_no, list_distinct(src) AS s, list_distinct(ws) AS t FROM lw),
     x AS (SELECT line_no, len(s) AS z, s, unnest(t) AS trg FROM e), y AS (SELECT unnest(s) AS src, trg, 1.0 / z AS p FROM x),
     c AS (SELECT src, trg, sum(p) AS c FROM y GROUP BY 1, 2), g AS (SELECT src, sum(c) AS cs FROM c GROUP BY 1)
-    SELECT src, trg, round(c / cs, 10) AS p FROM c JOIN g USING (src)""",
+    SELECT src, trg, round(c / cs, 8) AS p FROM c JOIN g USING (src)""",
     "vocab_export": ALIGNED
     + """SELECT token, CAST(id AS BIGINT) AS id FROM (VALUES ('<unk>', 0), ('<s>', 1), ('</s>', 2), ('<pad>', 3)) v(token, id) UNION ALL SELECT '▁▁{' || b || '}', b + 4 FROM range(256) r(b)
     UNION ALL SELECT span, 259 + row_number() OVER (ORDER BY span) FROM kept""",
     "decode_ids": LINES + "SELECT line_no, array_to_string(ws, '') AS text FROM lw",
-    "vocab_merge": _VOCABS + "SELECT token, row_number() OVER (ORDER BY part, id, token) - 1 AS id FROM (SELECT token, id, 0 AS part FROM a UNION ALL SELECT token, id, 1 FROM b WHERE token NOT IN (SELECT token FROM a))",
-    "vocab_overlap": _VOCABS + "SELECT round(count_if(a.token IS NOT NULL AND b.token IS NOT NULL) / count(*), 6) AS overlap FROM a FULL JOIN b ON a.token = b.token",
+    "extract_max": COUNTS + CELL + "SELECT span, token, round(c / 1.0, 6) AS score FROM cell QUALIFY row_number() OVER (PARTITION BY span ORDER BY c DESC, token) <= 3",
+    "extract_pmi": COUNTS + CELL + "SELECT span, token, round(pmi, 6) + 0.0 AS score FROM cell QUALIFY row_number() OVER (PARTITION BY span ORDER BY round(pmi, 9) DESC, token) <= 3",
+    "table_increase": COUNTS + "SELECT span, token, CASE WHEN c >= 100 THEN c + 2 ELSE c END AS c FROM k",
+    "table_replace": COUNTS + "SELECT span, token, c FROM k WHERE length(span) = 1",
+    "token_ids": "SELECT token, coalesce(id, 0) AS id FROM (SELECT DISTINCT vocab AS token FROM vocab WHERE vocab IS NOT NULL) LEFT JOIN (SELECT vocab AS token, CAST(min(id) AS BIGINT) AS id FROM vocab WHERE export_id = 1 AND vocab IS NOT NULL GROUP BY 1) USING (token)",
+    "ratio_matrix": CELLS
+    + """SELECT c.pair, c.size, c.vocab, c.alignment, c.model, round(CASE WHEN b.renyi <> 0 THEN c.renyi / b.renyi END, 6) AS ratio_src, round(CASE WHEN i.renyi <> 0 THEN c.renyi / i.renyi END, 6) AS ratio_trg FROM cells c
+    LEFT JOIN base b ON c.pair = b.pair AND c.size = b.size AND c.vocab = b.vocab AND c.alignment = b.alignment
+    LEFT JOIN base i ON c.pair = split_part(i.pair, '-', 2) || '-' || split_part(i.pair, '-', 1) AND c.size = i.size AND c.vocab = i.vocab AND c.alignment = i.alignment WHERE c.model <> 'unigram'""",
+    "metric_grid": CELLS
+    + """, g AS (SELECT * FROM (VALUES ('fra-ita'), ('ita-fra'), ('ces-ukr'), ('ukr-ces')) p(pair), (VALUES (100000), (500000)) s(size), (VALUES (8000), (16000), (32000)) v(vocab), (VALUES ('align')) a(alignment), (VALUES ('unigram'), ('cond-exact')) m(model))
+    SELECT pair, CAST(size AS BIGINT) AS size, CAST(vocab AS BIGINT) AS vocab, alignment, model, round(length, 6) AS length, round(renyi, 6) AS renyi, round(vocab_overlap, 6) AS vocab_overlap, round(single_char_macro, 6) AS single_char_macro,
+      round(single_char_micro, 6) AS single_char_micro, round(vocab_usage, 6) AS vocab_usage, round(fertility, 6) AS fertility, round(start_word, 6) AS start_word FROM g LEFT JOIN cells USING (pair, size, vocab, alignment, model)""",
+    "vocab_merge": """WITH f AS (SELECT vocab AS token, min({'x': export_id, 'i': id}) AS f FROM vocab WHERE vocab IS NOT NULL GROUP BY 1)
+    SELECT token, row_number() OVER (ORDER BY f.x, f.i, token) - 1 AS id FROM f""",
+    "vocab_overlap": """WITH t AS (SELECT DISTINCT export_id, vocab AS token FROM vocab WHERE vocab IS NOT NULL), n AS (SELECT export_id, count(*) AS n FROM t GROUP BY 1),
+    x AS (SELECT export_id, n, lead(export_id) OVER (ORDER BY export_id) AS other_id, lead(n) OVER (ORDER BY export_id) AS m FROM n),
+    k AS (SELECT x.export_id, count(*) AS k FROM x JOIN t a ON a.export_id = x.export_id JOIN t b ON b.export_id = x.other_id AND a.token = b.token GROUP BY 1)
+    SELECT export_id, other_id, round(coalesce(k, 0) / (n + m - coalesce(k, 0)), 6) AS overlap FROM x LEFT JOIN k USING (export_id) WHERE other_id IS NOT NULL""",
+    "viterbi_tokens": _best(MAXLEN - 1),
+    "viterbi_inclusive": _best(MAXLEN),
+    "hard_count_step": _viterbi(MAXLEN - 1) + "SELECT span, token, CAST(sum(n) AS BIGINT) AS c FROM (SELECT span, unnest(src) AS token, n FROM (SELECT uid, unnest(toks) AS span FROM best) JOIN pu USING (uid)) GROUP BY 1, 2",
+    "expected_counts_step": _expected(),
+    "sentence_counts": SENTENCES + "SELECT span, token, c FROM lk",
+    "tokenize_paired": _search(SENTENCES + _LUNITS.format(units="lu"), "SELECT uid, word FROM lp", _LEDGES, MAXLEN)
+    + """SELECT line_no, array_to_string(flatten(list(toks ORDER BY pos)), ' ') AS tokens, round(sum(loss), 4) + 0.0 AS loss FROM (SELECT line_no, src, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM lw) w
+    JOIN ls USING (src) JOIN lp ON lp.sid = ls.sid AND lp.word = w.word JOIN best ON best.uid = lp.uid GROUP BY 1""",
+    "alphabet_filter": ALIGNED + f""", alph AS (SELECT list(span) AS a FROM freq WHERE length(span) = 1 AND freq >= {10 * LEAST})
+    SELECT word, CAST(n AS BIGINT) AS n, len(list_filter(list_transform(range(1, length(word) + 1), lambda i: substring(word, i, 1)), lambda c: NOT list_contains(a, c))) = 0 AS known FROM wc, alph""",
+    "encode_ids": LINES + f""", w AS (SELECT line_no, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM lw), wn AS (SELECT token AS word, count(*) AS n FROM w GROUP BY 1),
+    fr AS (SELECT span, sum(n) AS freq FROM (SELECT n, substring(word, i, unnest(range(1, least(length(word) - i + 1, {MAXLEN}) + 1))) AS span FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM wn)) GROUP BY 1),
+    iv AS (SELECT count_if(length(span) >= 2 AND freq < 200) > count_if(NOT (length(span) >= 2 AND freq < 200)) AS inverted FROM fr),
+    vo AS (SELECT span AS token, 259 + row_number() OVER (ORDER BY span) AS id FROM fr, iv WHERE CASE WHEN inverted THEN freq > 200 OR length(span) = 1 ELSE NOT (length(span) >= 2 AND freq < 200) END),
+    ids AS (SELECT line_no, pos, CASE WHEN id IS NOT NULL THEN [id] ELSE list_transform(range(0, strlen(token)), lambda i: CAST('0x' || substring(hex(encode(token)), 2 * i + 1, 2) AS BIGINT) + 4) END AS x FROM w LEFT JOIN vo USING (token))
+    SELECT line_no, array_to_string(list_concat([1], coalesce(flatten(list(x ORDER BY pos) FILTER (x IS NOT NULL)), []), [2]), ' ') AS ids FROM pairs LEFT JOIN ids USING (line_no) GROUP BY 1""",
     "token_metrics": LINES
     + """, a AS (SELECT ws AS tokens, len(src) AS w, len(list_filter(ws, lambda x: length(regexp_replace(x, '^▁', '')) = 1)) AS single FROM lw),
     s AS (SELECT sum(len(tokens)) AS n, count(*) AS lines, sum(w) AS words, sum(single) AS single, avg(CASE WHEN len(tokens) > 0 THEN single / len(tokens) END) AS macro FROM a),

@@ -10,20 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.common import materialise
+from spanforge.operators import counts as C
+
 SEPARATORS = "[\\x{2028}\\x{2029}]"
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(line_no, text) of text files in path order; numbers are fixed at ingest, so parallel files can be joined on them."""
+    """(line_no, text) of text files in path order; numbers are fixed at ingest, so parallel files can be joined on them.
+
+    Lines are ordered by file, block of the file and place in the block, and numbered by distributed ranks."""
     out = None
-    for p in paths:
-        rows = spark.read.text(p).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-        df = spark.createDataFrame(rows, "line_no long, text string")
-        if out is None:
-            out = df
-        else:
-            out = out.unionByName(df.withColumn("line_no", F.col("line_no") + out.count()))
-    return out
+    for i, p in enumerate(paths):
+        at = [F.lit(i).alias("_i"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m")]
+        df = spark.read.text(p).select(F.col("value").alias("text"), *at)
+        out = df if out is None else out.unionByName(df)
+    return C.ranked(materialise(out, "lines"), ["_i", "_f", "_b", "_m"], "line_no", 1).select("line_no", "text")
 
 
 def scrub(df: DataFrame, column: str, replace: str = "") -> DataFrame:
@@ -36,6 +38,19 @@ def write_lines(df: DataFrame, path: str, column: str = "text") -> None:
     df.orderBy("line_no").select(F.coalesce(F.col(column), F.lit("")).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_parallel(df: DataFrame, src_path: str, trg_path: str, src: str = "src", trg: str = "trg") -> None:
+    """The two sides of line pairs as two text files with the same line order."""
+    df = materialise(df.select("line_no", src, trg), "parallel")
+    write_lines(df, src_path, src)
+    write_lines(df, trg_path, trg)
+
+
+def write_splits(rows: DataFrame, path: str, splits: tuple[str, ...] = ("dev", "devtest")) -> None:
+    """Each held-out split as a pair of text files under the path."""
+    for name in splits:
+        write_parallel(rows.where(F.col("split") == name), f"{path}/{name}.src", f"{path}/{name}.trg")
+
+
 def zip_lines(**sides: DataFrame) -> DataFrame:
     """Positional zip of line frames, cut to the shortest."""
     out = None
@@ -67,8 +82,19 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/counts"), json.loads(spark.read.text(f"{path}/meta").first()[0])
 
 
-def export_archive(table: DataFrame, path: str, **meta) -> None:
-    """A single-file model for exchange: an archive of JSON documents (index maps and id-keyed counts), written by the driver from a table that fits it."""
+def load_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
+    """(spans of a saved model, a warning if they are not as many as its metadata says); only the span column is read."""
+    spans = spark.read.parquet(f"{path}/counts").select("span").distinct()
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    n = spans.count()
+    return spans, None if meta.get("vocab_size") in (None, n) else f"the model has {n} spans, its metadata says {meta['vocab_size']}"
+
+
+def export_archive(table: DataFrame, path: str, max_cells: int = 20_000_000, **meta) -> None:
+    """A single-file model for exchange: an archive of JSON documents (index maps and id-keyed counts), written by the driver; a
+    table of more than max_cells cells, which would not fit it, is refused (save_model writes tables of any size)."""
+    if table.limit(max_cells + 1).count() > max_cells:
+        raise ValueError(f"more than {max_cells} cells: use save_model")
     rows = table.select("span", "token", "c").toLocalIterator()
     spans: dict[str, int] = {}
     tokens: dict[str, int] = {}
@@ -139,3 +165,9 @@ def read_metrics(spark: SparkSession, grid: DataFrame, path: str, schema: str, d
 def comet_score(line: str):
     """The last blank-separated part of a score line."""
     return F.element_at(F.split(F.trim(line), " +"), -1).cast("double")
+
+
+def score_pivot(df: DataFrame, key: list[str], column: str, names: list[str]) -> DataFrame:
+    """One column per named score of a JSON list of {name, score}."""
+    each = df.select(*key, F.explode_outer(F.from_json(column, "array<struct<name:string,score:double>>")).alias("e"))
+    return each.groupBy(*key).pivot("e.name", names).agg(F.first("e.score", ignorenulls=True))
