@@ -35,7 +35,8 @@ def edges(units: DataFrame, sources: DataFrame, table: DataFrame, model: str, ma
     """(s1, s2, word, edges): the known spans of each word of units (s1, s2, word) with their places and scores; sources is (s1, s2, src)."""
     key = [*SOURCE, "word"]
     known = table.select("span").distinct()
-    each = units.select(*key, F.explode(T.spans(F.col("word"), maxlen)).alias("s")).select(*key, "s.*").join(known, "span", "left_semi")
+    spans = units.select("word").distinct().select("word", F.explode(T.spans(F.col("word"), maxlen)).alias("s")).select("word", "s.*").join(known, "span", "left_semi")
+    each = units.select(*key).join(spans, "word")
     scored = each.join(S.score(model, each, table, SOURCE, sources), [*SOURCE, "span"])
     return scored.groupBy(*key).agg(F.collect_list(F.struct("start", "end", "span", "score")).alias("edges"))
 
@@ -94,7 +95,7 @@ def search(units: DataFrame, sources: DataFrame, table: DataFrame, model: str =
 
 def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None, inclusive: bool = False, nonfinite: str = "table_min") -> DataFrame:
     """(src, word, n, loss, tokens): best segmentation of each unit, see search."""
-    u = named(units)
+    u = materialise(named(units), "units")
     got = search(u, u.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, maxlen, inclusive, nonfinite)
     return u.join(got, [*SOURCE, "word"]).select("src", "word", "n", "loss", "tokens")
 
@@ -102,19 +103,19 @@ def viterbi(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxle
 def tokenize(pairs: DataFrame, table: DataFrame, model: str = "cond-exact", **kw) -> DataFrame:
     """(line_no, tokens, loss): every line, segmented word by word given its whole source; distinct (src, word) are searched once."""
     src = F.array().cast("array<string>") if model in S.UNPAIRED else F.col("src")  # without a source, a word is searched once in all
-    lines = named(pairs.select("line_no", src.alias("src"), T.marked_words(F.col("trg")).alias("ws")))
+    lines = materialise(named(pairs.select("line_no", src.alias("src"), T.marked_words(F.col("trg")).alias("ws"))), "lines")
     words = lines.select("line_no", *SOURCE, F.posexplode("ws").alias("pos", "word"))
     return _joined_lines(pairs, words, lines.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, **kw)
 
 
 def tokenize_words(pairs: DataFrame, words: DataFrame, table: DataFrame, model: str = "cond-exact", **kw) -> DataFrame:
     """(line_no, tokens, loss) of lines whose words (line_no, pos, src, word) have sources of their own."""
-    w = named(words)
+    w = materialise(named(words), "words")
     return _joined_lines(pairs, w.select("line_no", "pos", *SOURCE, "word"), w.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, **kw)
 
 
 def _joined_lines(pairs: DataFrame, words: DataFrame, sources: DataFrame, table: DataFrame, model: str, **kw) -> DataFrame:
-    best = search(words.select(*SOURCE, "word").distinct(), sources, table, model, **kw)
+    best = search(materialise(words.select(*SOURCE, "word").distinct(), "units"), materialise(sources, "sources"), table, model, **kw)
     got = words.join(best, [*SOURCE, "word"])
     lines = got.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("ws"), F.sum("loss").alias("loss"))
     lines = lines.select("line_no", F.flatten(F.transform("ws", lambda x: x["tokens"])).alias("tokens"), "loss")
@@ -123,7 +124,7 @@ def _joined_lines(pairs: DataFrame, words: DataFrame, sources: DataFrame, table:
 
 def expected_counts(units: DataFrame, table: DataFrame, model: str = "cond-exact", maxlen: int | None = None) -> DataFrame:
     """(span, token, c): expected use of each span, by forward and backward sums over the lattice, weights softmax-normalised over the whole lattice."""
-    u = named(units)
+    u = materialise(named(units), "units")
     key = [*SOURCE, "word"]
     e = edges(u.select(*key), u.select(*SOURCE, "src").dropDuplicates(SOURCE), table, model, maxlen)
     finite = F.filter("edges", lambda x: ~F.isnan(x["score"]) & (x["score"] > float("-inf")))
