@@ -300,13 +300,13 @@ class Profiles:
         return out
 
 
-def identify(rows: DataFrame, id_col: str, fields: tuple[str, ...], samples: DataFrame, every: bool = False) -> DataFrame:
-    """(id, field, langs): the language runs of each field that has running words or, if `every`, of each that is not blank; one
+def identify(rows: DataFrame, id_col: str, fields: tuple[str, ...], samples: DataFrame, every: bool = False, labels: tuple[str, ...] = ()) -> DataFrame:
+    """(id, field, langs) and, where the columns of the fields' labels are named, (label, text): the language runs of each field that has running words or, if `every`, of each that is not blank; one
     without a known n-gram has a run without language and confidence."""
     ship(rows.sparkSession)
     p = Profiles([(r[0], r[1]) for r in samples.select("lang", "text").collect()])  # the fixed sample table
     shared = rows.sparkSession.sparkContext.broadcast(p)
-    keys = rows.select(F.col(id_col).alias("id"), *fields)
+    keys = rows.select(F.col(id_col).alias("id"), *[F.col(f).alias(f"t{k}") for k, f in enumerate(fields)], *[F.col(x).alias(f"l{k}") for k, x in enumerate(labels)])
     kind = keys.schema["id"].dataType.simpleString()
     struct = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
 
@@ -322,9 +322,12 @@ def identify(rows: DataFrame, id_col: str, fields: tuple[str, ...], samples: Dat
                         got = [g or ([(None, 0, len(t), 0.0)] if t and not t.isspace() else None) for g, t in zip(got, texts)]
                     at = [i for i, x in enumerate(got) if x]
                     langs = [[{"lang": r[0], "start": r[1], "end": r[2], "confidence": r[3]} for r in got[i]] for i in at]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([f] * len(at), pa.string()), pa.array(langs, struct)], names=["id", "field", "langs"])
+                    take = pa.array(at, pa.int64())
+                    cols = [b.column(0).take(take), pa.array([f] * len(at), pa.string()), pa.array(langs, struct)]
+                    more = [b.column(len(fields) + 1 + k).take(take), b.column(k + 1).take(take)] if labels else []
+                    yield pa.RecordBatch.from_arrays([*cols, *more], names=["id", "field", "langs", "label", "text"][: len(cols + more)])
 
-    return keys.mapInArrow(run, f"id {kind}, {RESULT}")
+    return keys.mapInArrow(run, f"id {kind}, {RESULT}" + (", label string, text string" if labels else ""))
 
 
 def label_lang(codes: DataFrame, label_of: DataFrame, label: str) -> DataFrame:
@@ -337,11 +340,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm import mojibake
 
     rows = table(spark, sf_dir, "paired_sp_train").select("line_no", "src", "trg", "src_lang", "trg_lang")
-    runs = identify(rows, "line_no", ("src", "trg"), table(spark, sf_dir, "lang_samples"))
-    langs = runs.select("id", "field", F.array_distinct(F.transform("langs", lambda x: x["lang"])).alias("langs"))
-    labels = rows.select(F.col("line_no").alias("id"), F.explode(F.array(F.struct(F.lit("src").alias("field"), F.col("src_lang").alias("label")), F.struct(F.lit("trg").alias("field"), F.col("trg_lang").alias("label")))).alias("e")).select("id", "e.field", "e.label")
-    said = label_lang(table(spark, sf_dir, "languages"), labels, "label")
-    odd = materialise(langs.join(said, ["id", "field"]).where("size(langs) > 1 or said is null or said <> langs[0]"), "odd")
+    runs = identify(rows, "line_no", ("src", "trg"), table(spark, sf_dir, "lang_samples"), labels=("src_lang", "trg_lang"))
+    langs = runs.withColumn("langs", F.array_distinct(F.transform("langs", lambda x: x["lang"])))
+    said = label_lang(table(spark, sf_dir, "languages"), langs, "label")
+    odd = materialise(said.where("size(langs) > 1 or said is null or said <> langs[0]").select("id", "field", "langs", "text"), "odd")
     bad = mojibake.damaged(spark, rows, "line_no", ("src", "trg"), odd)
     return odd.join(bad, ["id", "field"], "left_anti").select(F.col("id").alias("line_no"), "field", F.explode("langs").alias("lang"))
 

@@ -147,9 +147,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm import mojibake
 
     rows = table(spark, sf_dir, "paired_sp_train").select("line_no", "src", "trg")
-    out = materialise(changed(rows, "line_no", ("src", "trg")).select("id", "field"), "changed")
+    out = materialise(changed(rows, "line_no", ("src", "trg")).select("id", "field", "text"), "changed")
     garbled = mojibake.damaged(spark, rows, "line_no", ("src", "trg"), out)
-    return out.join(garbled, ["id", "field"], "left_anti").select(F.col("id").alias("line_no"), "field")
+    return out.select("id", "field").join(garbled, ["id", "field"], "left_anti").select(F.col("id").alias("line_no"), "field")
 
 
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
