@@ -111,9 +111,9 @@ def _lexical(s, d):
 
 
 def _align_words(s, d):
-    """Links of the word-to-word translations of the development lines, by models of those lines in both directions."""
+    """Links of the words of all lines, by translation models of the lines in both directions."""
     cut = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\r\\n]+"), lambda x: x != "")
-    rows = table(s, d, "paired_sp_train").where("split = 'dev' and src is not null and trg is not null")
+    rows = table(s, d, "paired_sp_train").where("src is not null and trg is not null")
     links = A.align_words(rows.select("line_no", cut("src").alias("s"), cut("trg").alias("t")), 3)
     return links.select("line_no", F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["si"], x["ti"])), " ").alias("links"))
 
@@ -162,13 +162,6 @@ def _decode(s, d):
     return codec.decode(codec.encode(t, v, bos=1, eos=2), v)
 
 
-def _token_ids(s, d):
-    """The id of every distinct token of all exports in the first export of its pair's order, 0 where it has none."""
-    v = vocabs(s, d)
-    first = v.where("export_id = 1").groupBy("token").agg(F.min("id").alias("id"))
-    return codec.token_ids(v.select("token").distinct(), first)
-
-
 def _lm(s, d):
     w = pairs(s, d).select("line_no", F.array_join("src", " ").alias("t"), "src")
     each = w.select("line_no", F.explode("src").alias("w"))
@@ -224,7 +217,6 @@ QUERIES: dict[str, Query] = {
     "table_add": lambda s, d: (lambda t: C.add(t, t.where("c >= 10")))(model(s, d)),
     "table_increase": lambda s, d: (lambda t: C.increase_all(t, t.where("c >= 100").select("span", F.array("token", "token").alias("tokens"))))(model(s, d)),
     "table_replace": lambda s, d: (lambda t: C.replace(t.where("length(span) = 1"), t))(model(s, d)),
-    "token_ids": _token_ids,
     "table_scale": lambda s, d: rounded(C.scale(counts(s, d), lambda c: c * 3 / 2)),
     "table_upsert": lambda s, d: (lambda t: C.upsert(t, t.where("c = 1").withColumn("c", F.lit(5).cast("long"))))(model(s, d)),
     "sparsity": lambda s, d: rounded(C.sizes(model(s, d)), 9),
