@@ -110,14 +110,6 @@ def _lexical(s, d):
     return rounded(A.lexical_step(p), 8)
 
 
-def _align_words(s, d):
-    """Links of the words of all lines, by translation models of the lines in both directions."""
-    cut = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\r\\n]+"), lambda x: x != "")
-    rows = table(s, d, "paired_sp_train").where("src is not null and trg is not null")
-    links = A.align_words(rows.select("line_no", cut("src").alias("s"), cut("trg").alias("t")), 3)
-    return links.select("line_no", F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["si"], x["ti"])), " ").alias("links"))
-
-
 def sentence_model(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(prepared lines, count table of whole sentence pairs), spans from one occurrence per LINES_PER lines."""
     p = materialise(pairs(s, d), "pairs")
@@ -242,7 +234,6 @@ QUERIES: dict[str, Query] = {
     "phrase_pairs": lambda s, d: A.phrases(corpus.lines(s, d), table(s, d, "alignment")),
     "link_symmetrise": _symmetrise,
     "lexical_step": _lexical,
-    "word_alignment": _align_words,
     "sentence_counts": lambda s, d: sentence_model(s, d)[1],
     "tokenize_paired": _paired,
     "tokenize_aligned": _aligned_tokens,
