@@ -10,7 +10,8 @@ that explain some word of the text; look-alike characters compete as a channel o
 for garbled text.
 
 Word frequencies are counted over all rows.  The MAX_WORDS most frequent words are handed to the workers; where there are
-more, the readings of each suspicious text are joined with the rest and go with the text.  Texts written wholly in one language's alphabet cannot hold such
+more, the readings of each suspicious text are joined with the rest and go with the text, and so does the likeliest of the
+rest for each shape of a word with lost bytes that no frequent word fits (a frequent one always goes first).  Texts written wholly in one language's alphabet cannot hold such
 damage and are passed over by the JVM.
 
 Defined results: null, empty and blank texts are no cases; a text with replacement or C1 control characters always is one;
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ AT_EDGE = 2.0  # price in place of ODD of a letter read as an ordinary mark befo
 INNER = "’‘–—"
 MEMO = 100_000
 LOST = 1 << 20  # number of the channel that lost bytes
+EDGE, INSIDE = 8, 3  # most letters of a shape's ends, or of what is left within it, that words are looked up by
 
 
 def language_pattern() -> list[str]:
@@ -76,7 +79,7 @@ def word_counts(rows: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, Da
     total = counts.agg(F.sum("n")).first()[0] or 0
     own = "|".join(f"[{'a-z' if lang != 'ukr' else ''}{letters}]+" for lang, letters in ALPHABETS.items())
     good = counts.where((F.col("n") >= 2) & F.col("w").rlike(f"^(?:{own})$"))
-    by_n = sorted(good.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").limit(4096).collect(), key=lambda r: r["n"])  # how many words occur so often
+    by_n = sorted(good.groupBy("n").agg(F.count("*").alias("k")).collect(), key=lambda r: r["n"])  # how many words occur so often; as different counts add up to the total at most, there are at most sqrt(2 total) of them
     above, least = good.count(), 2
     for r in by_n:
         if above <= MAX_WORDS:
@@ -185,6 +188,19 @@ def wild(word: str, channel: str | None) -> tuple[str, int, int] | None:
     return "".join(out), n, n
 
 
+def lookups(pattern: str, least: int, most: int) -> list[tuple[int, int, int, str]]:
+    """(letters at the start, at the end, inside; key) under which every word of least to most letters that fits a pattern of
+    `wild` is found: its size and the letters that are left at both ends, or without such, some that are left inside."""
+    one = [m.group(1) or m.group(2) for m in re.finditer(r"\[\^a-z\]\{\d+,\d+\}|\[([^\]]+)\]|(.)", pattern)]  # letters that may stand there, None for any beyond a-z
+    runs = "".join(x if x and len(x) == 1 else "\0" for x in one).split("\0")
+    start, end = runs[0][:EDGE], runs[-1][-EDGE:]
+    if start or end:
+        return [(len(start), len(end), 0, f"{n}|{len(start)}|{len(end)}|{start}|{end}") for n in range(least, most + 1)]
+    run = max(runs, key=len)[:INSIDE]
+    some = [run] if run else min((x for x in one if x), key=len)
+    return [(0, 0, len(x), f"{n}|{x}") for n in range(least, most + 1) for x in some]
+
+
 def folded(s: str) -> str:
     """The look-alike reading: compatibility forms, combining marks, invisible characters and look-alike letters to plain Latin."""
     from spanforge.llm.one_form import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
@@ -199,6 +215,7 @@ class Decoder:
     def __init__(self, logp: dict[str, float]):
         self.logp = logp
         self.of_text: dict[str, float] = {}  # words of the text at hand that are not among the most frequent
+        self.fits: dict[str, tuple[float, str]] = {}  # the likeliest word not among them for the shapes of the text at hand
         self.memo: dict[str, tuple] = {}
         self.lost: dict[str, str | None] = {}
         self.by_size: dict[int, list[str]] | None = None
@@ -206,11 +223,13 @@ class Decoder:
         self.good = good
         self.runs = re.compile(r"[^\W\d_]+")
 
-    def with_words(self, words: dict[str, float]) -> None:
+    def with_words(self, words: dict[str, float], fits: dict[str, tuple[float, str]]) -> None:
         """Further words of the next text; what was read without them is forgotten."""
         if words or self.of_text:
             self.memo.clear()
-        self.of_text = words
+        if words or fits or self.of_text or self.fits:
+            self.lost.clear()
+        self.of_text, self.fits = words, fits
 
     def score(self, s: str) -> tuple[float, int]:
         """(log probability, known words) of one reading."""
@@ -291,35 +310,44 @@ class Decoder:
 
     def _filled(self, tok: str, channel: str | None) -> tuple[float, str] | None:
         """The token with the characters that are left read as bytes of UTF-8 decoded with `channel`, or as they stand."""
-        if self.by_size is None:
-            self.by_size = {}
-            for x in sorted(self.logp, key=lambda x: (-self.logp[x], x)):
-                self.by_size.setdefault(len(x), []).append(x)
         out, total, at = [], 0.0, 0
-        kept = "�" if channel is None else "�\u0080-\U0010ffff"
-        for m in re.finditer(rf"(?:[^\W\d_]|[{kept}])+", tok):
-            w = m.group()
-            out.append(tok[at : m.start()])
-            at = m.end()
-            if "�" not in w and (channel is None or w.isascii()):
+        for begin, end, shape in self.shapes(tok, channel):
+            w = tok[begin:end]
+            out.append(tok[at:begin])
+            at = end
+            if shape is None:
+                return None
+            if not shape:
                 out.append(w)
                 total += self.score(w)[0]
                 continue
-            shape = wild(w, channel)
-            if shape is None:
+            got = self.frequent(*shape) or self.fits.get(shape[0])
+            if got is None:
                 return None
-            pattern, least, most = shape
-            if not re.sub(r"\[\^a-z\]\{\d+,\d+\}", "", pattern):
-                return None  # nothing is left of the word
-            fit = re.compile(pattern)
-            hits = [x for n in range(least, most + 1) for x in self.by_size.get(n, ()) if fit.fullmatch(x)]
-            if not hits:
-                return None
-            hit = max(hits, key=lambda x: (self.logp[x], x))
-            total += self.logp[hit]
+            total += got[0]
+            hit = got[1]
             out.append(hit.upper() if w.isupper() and len(w) > 1 else hit[0].upper() + hit[1:] if w[0].isupper() and channel is None else hit)
         return total, "".join(out) + tok[at:]
 
+    def shapes(self, tok: str, channel: str | None) -> Iterator[tuple[int, int, tuple]]:
+        """(begin, end, shape) of the words of a token: empty for one without lost bytes, None for one of which nothing can be told."""
+        kept = "�" if channel is None else "�\u0080-\U0010ffff"
+        for m in re.finditer(rf"(?:[^\W\d_]|[{kept}])+", tok):
+            w = m.group()
+            shape = () if "�" not in w and (channel is None or w.isascii()) else wild(w, channel)
+            if shape and not re.sub(r"\[\^a-z\]\{\d+,\d+\}", "", shape[0]):
+                shape = None  # nothing is left of the word
+            yield m.start(), m.end(), shape
+
+    def frequent(self, pattern: str, least: int, most: int) -> tuple[float, str] | None:
+        """(log frequency, word) of the likeliest of the most frequent words that fit a shape."""
+        if self.by_size is None:
+            self.by_size = {}
+            for x in self.logp:
+                self.by_size.setdefault(len(x), []).append(x)
+        fit = re.compile(pattern)
+        return max(((self.logp[x], x) for n in range(least, most + 1) for x in self.by_size.get(n, ()) if fit.fullmatch(x)), default=None)
+
     def decode(self, text: str) -> tuple[bool, str, list[str], bool]:
         """(damaged, restored text, channels, whether all damage is restored)."""
         parts = re.split(r"([ \t\r\n]+)", text)
@@ -381,27 +409,52 @@ class Decoder:
         return damaged, out, sorted(set(used)), whole
 
 
-def _extra(odd: DataFrame, others: DataFrame, total: float) -> DataFrame:
-    """The suspicious texts with a column `more`: the words of their readings that are not among the most frequent, with log frequency."""
+def _extra(odd: DataFrame, others: DataFrame, total: float, known: Broadcast) -> DataFrame:
+    """The suspicious texts with columns `more`: the words of their readings that are not among the most frequent, with log
+    frequency; and `fits`: of those words the likeliest for each shape of a word with lost bytes that no frequent word fits."""
+    longest = others.agg(F.max(F.length("w"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Decoder({})
+        d = Decoder(known.value)
+        open_: dict[tuple, list[tuple[int, int, int, str]]] = {}  # lookups of the shapes that no frequent word fits
         for b in batches:
-            rows, words = [], []
+            rows, words, patterns, keys = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen = set()
+                seen, shapes = set(), set()
                 for tok in re.split(r"[ \t\r\n]+", t):
-                    if not tok.isascii() and "�" not in tok:
+                    if "�" in tok:
+                        seen.update(w.lower() for w in d.runs.findall(tok))
+                        shapes.update(x for channel in (None, *TWICE) for _, _, x in d.shapes(tok, channel) if x)
+                    elif not tok.isascii():
                         for s in (tok, folded(tok), *(r for chars, _, group in channels()[1] for _, _, _, read in group if (r := read(tok)))):
                             seen.update(w.lower() for w in d.runs.findall(s))
-                rows += [i] * len(seen)
-                words += sorted(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string())], names=["_row", "w"])
+                if len(open_) > MEMO:
+                    open_.clear()
+                for x in shapes - open_.keys():
+                    open_[x] = [] if d.frequent(*x) else lookups(x[0], x[1], min(x[2], longest))
+                shapes = sorted(x for x in shapes if open_[x])
+                rows += [i] * (len(seen) + len(shapes))
+                words += [*sorted(seen), *[None] * len(shapes)]
+                patterns += [*[None] * len(seen), *(x[0] for x in shapes)]
+                keys += [*[None] * len(seen), *([{"i": i, "j": j, "k": k, "key": key} for i, j, k, key in open_[x]] for x in shapes)]
+            kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("k", pa.int32()), ("key", pa.string())]))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(patterns, pa.string()), pa.array(keys, kind)], names=["_row", "w", "pattern", "keys"])
 
     numbered = materialise(odd.withColumn("_row", F.monotonically_increasing_id()), "suspicious")
-    words = numbered.select("_row", "text").mapInArrow(run, "_row long, w string").join(others, "w")
-    more = words.groupBy("_row").agg(F.collect_list(F.struct("w", F.log(F.col("n") / total).alias("p"))).alias("m"))  # words of one text
-    return numbered.join(more, "_row", "left").select("id", "field", "text", F.col("m").alias("more"))
+    asked = materialise(numbered.select("_row", "text").mapInArrow(run, "_row long, w string, pattern string, keys array<struct<i:int,j:int,k:int,key:string>>"), "asked")
+    words = asked.where("w is not null").select("_row", "w").join(others, "w")
+    more = words.groupBy("_row").agg(F.collect_list(F.struct("w", F.log(F.col("n") / total).alias("p"))).alias("more"))  # words of one text
+    keys = asked.where("pattern is not null").groupBy("pattern").agg(F.first("keys").alias("keys")).select("pattern", F.inline("keys"))
+    kinds = [tuple(r) for r in keys.select("i", "j", "k").distinct().collect()]  # at most (EDGE + 1)^2 + INSIDE
+    size = F.length("w")
+    ends = [F.when(size >= max(i, j), F.array(F.concat_ws("|", size, F.lit(i), F.lit(j), F.substring("w", 1, i), F.right(F.col("w"), F.lit(j))))) for i, j, k in kinds if not k]
+    inside = [F.when(size >= k, F.transform(F.sequence(F.lit(1), size - k + 1), lambda at, k=k: F.concat_ws("|", size, F.substring(F.col("w"), at, F.lit(k))))) for _, _, k in kinds if k]
+    under = F.flatten(F.array_compact(F.array(*ends, *inside))) if kinds else F.array().cast("array<string>")
+    best = keys.join(others.select("w", "n", F.explode(F.array_distinct(under)).alias("key")), "key").where(F.rlike("w", F.concat(F.lit("^(?:"), "pattern", F.lit(")$"))))
+    best = best.groupBy("pattern").agg(F.max(F.struct("n", "w")).alias("b"))
+    fits = asked.where("pattern is not null").select("_row", "pattern").join(best, "pattern")
+    fits = fits.groupBy("_row").agg(F.collect_list(F.struct("pattern", F.col("b.w").alias("w"), F.log(F.col("b.n") / total).alias("p"))).alias("fits"))  # shapes of one text
+    return numbered.join(more, "_row", "left").join(fits, "_row", "left").select("id", "field", "text", "more", "fits")
 
 
 def restore(spark: SparkSession, rows: DataFrame, id_col: str, fields: tuple[str, ...], only: DataFrame | None = None) -> DataFrame:
@@ -412,16 +465,16 @@ def restore(spark: SparkSession, rows: DataFrame, id_col: str, fields: tuple[str
     if only is None:
         only = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("e")).select("id", "e.field", "e.text")
     odd = only.select("id", "field", "text").where(suspicious(F.col("text")))
-    none = F.lit(None).cast("array<struct<w:string,p:double>>")
-    odd = odd.withColumn("more", none) if others is None else _extra(odd, others, total)
+    none = {"more": F.lit(None).cast("array<struct<w:string,p:double>>"), "fits": F.lit(None).cast("array<struct<pattern:string,w:string,p:double>>")}
+    odd = odd.withColumns(none) if others is None else _extra(odd, others, total, known)
     kind = odd.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Decoder(known.value)
         for b in batches:
             got = []
-            for i, (t, more) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                d.with_words({x["w"]: x["p"] for x in more} if more else {})
+            for i, (t, more, fits) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
+                d.with_words({x["w"]: x["p"] for x in more or ()}, {x["pattern"]: (x["p"], x["w"]) for x in fits or ()})
                 r = d.decode(t)
                 if r[0]:
                     got.append((i, *r))
@@ -431,7 +484,7 @@ def restore(spark: SparkSession, rows: DataFrame, id_col: str, fields: tuple[str
                 names=["id", "field", "text", "restored", "channels", "whole"],
             )
 
-    return odd.select("id", "field", "text", "more").mapInArrow(run, f"id {kind}, field string, text string, restored string, channels array<string>, whole boolean")
+    return odd.select("id", "field", "text", "more", "fits").mapInArrow(run, f"id {kind}, field string, text string, restored string, channels array<string>, whole boolean")
 
 
 def damaged(spark: SparkSession, rows: DataFrame, id_col: str, fields: tuple[str, ...], only: DataFrame | None = None) -> DataFrame:
