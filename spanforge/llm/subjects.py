@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +48,43 @@ SETTLED, MAX_ROUNDS, INNER = 0.01, 10, 6
 OWN = 0.3
 FLOOR, OTHER = 1e-4, 0.02  # least part of a term that a subject and everything else has
 MAX_ACTIVE = 300_000
-WORD = re.compile(r"[^\W\d_]+")
-SENTENCE = re.compile(r"[.!?]+(?=\s|$|[\"»”“)])|[\r\n]+|\|\|\|")
-
-
-def sentences(text: str) -> list[list[str]]:
-    """Lower-cased words of each sentence."""
-    return [w for s in SENTENCE.split(text.lower()) if len(w := WORD.findall(s)) >= LEAST_WORDS]
+PIECE = 1 << 19  # characters that are cut at once
+# a word is a run of letters; a sentence ends at a stop before a blank or closing mark, at a line end and at three bars
+LETTER, STOP, LINE, BAR, AFTER = 1, 2, 4, 8, 16
+KINDS = {LETTER: r"[^\W\d_]+", STOP: "[.!?]+", LINE: r"[\r\n]+", BAR: r"\|", AFTER: r"[\s\"»”“)]+"}
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """For each code point, the kinds it is of."""
+    every = np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    out = np.zeros(len(every), np.uint8)
+    for kind, pattern in KINDS.items():
+        for m in re.finditer(pattern, every):
+            out[m.start() : m.end()] |= kind
+    return out
+
+
+def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text and number of words of each sentence, hash of each word in order); words are lower-cased, a sentence has LEAST_WORDS at least."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[codes]
+    ok = (kind & LETTER).view(bool)
+    edge = np.flatnonzero(np.diff(ok, prepend=False))  # the last one is a line end
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    stop = np.flatnonzero(kind & (STOP | LINE | BAR))
+    here, one, two = kind[stop], kind[np.minimum(stop + 1, len(kind) - 1)], kind[np.minimum(stop + 2, len(kind) - 1)]
+    stop = stop[(here & LINE > 0) | (here & STOP > 0) & (one & AFTER > 0) | (here & one & two & BAR > 0)]
+    count = np.diff(np.searchsorted(start, stop), prepend=0)  # words before each end of a sentence
+    use = count >= LEAST_WORDS
+    of = np.searchsorted(np.fromiter(accumulate(len(t) + 1 for t in low), np.int64, len(low)) - 1, stop[use])
+    if not len(of):
+        return of, count[use], np.empty(0, np.int64)
+    at = np.cumsum(size) - size
+    power = np.cumprod(np.full(int(size.max()) + 1, npwords.MULT, np.uint64))
+    h = np.add.reduceat((codes[ok].astype(np.uint64) + np.uint64(1)) * power[np.arange(int(size.sum())) - np.repeat(at, size)], at) + power[size]
+    return of, count[use], npwords.mix(h[np.repeat(use, count)]).view(np.int64)
 
 
 def labels(subject_labels: DataFrame, subjects: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -70,38 +102,35 @@ def tokenise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [sentences(t) for t in b.column(1).to_pylist()]
-            rows = np.array([i for i, s in enumerate(got) if s], np.int64)
-            words = [w for s in got for x in s for w in x]
-            if not words:
-                continue
-            codes = npwords.joined(words, lower=False)
-            end = np.flatnonzero(codes == 0)
-            begin = np.append(0, end[:-1] + 1)
-            power = np.cumprod(np.full(int((end - begin).max()) + 1, npwords.MULT, np.uint64))
-            h = npwords.mix(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(codes)) - np.repeat(begin, end - begin + 1)], begin))
-            sizes = [len(x) for s in got for x in s]
-            sent = np.repeat(np.array([j for s in got for j in range(len(s))], np.int32), sizes)
-            offsets = pa.array(np.append(0, np.cumsum([sum(map(len, got[i])) for i in rows])).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), pa.array([len(got[i]) for i in rows], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(sent)), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))],
-                names=["doc_id", "n", "sent", "terms"])
+            texts = b.column(1).to_pylist()
+            piece = np.fromiter(accumulate(map(len, texts)), np.int64, len(texts)) // PIECE
+            for begin, end in zip(first := np.flatnonzero(np.diff(piece, prepend=-1)), [*first[1:], len(texts)]):
+                of, count, h = cut(texts[begin:end])
+                if not len(of):
+                    continue
+                n = np.bincount(of)
+                rows = np.flatnonzero(n)
+                number = np.arange(len(of)) - (np.cumsum(n) - n)[of]  # of the sentence in its text
+                offsets = pa.array(np.append(0, np.cumsum(np.bincount(of, count)[rows])).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(begin + rows)), pa.array(n[rows].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.repeat(number, count).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h))],
+                    names=["doc_id", "n", "sent", "terms"])
 
     return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, n int, sent array<int>, terms array<long>")
 
 
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of all entries of a list column."""
-    n = np.diff(col.offsets.to_numpy())
-    return np.repeat(np.arange(len(col)), n), col.flatten().to_numpy(zero_copy_only=False)
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of the entries of a list column, its different values, place of each entry's value among them)."""
+    coded = col.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy())), coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
-def _sums(terms: np.ndarray, values: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
-    """(term, n, c0..): number of entries and sum of their values (one row each) by term, and a row without a term of extra = (n, c0..)."""
-    at, inv = np.unique(terms, return_inverse=True)
-    cols = [np.bincount(inv, minlength=len(at)), *(np.bincount(inv, values[:, k], len(at)) for k in range(values.shape[1]))]
-    arrays = [pa.array([*at.tolist(), None], pa.int64()), *(pa.array(np.append(c, x), pa.float64()) for c, x in zip(cols, extra))]
-    return pa.RecordBatch.from_arrays(arrays, names=["term", "n", *(f"c{k}" for k in range(values.shape[1]))])
+def _sums(terms: np.ndarray, at: np.ndarray, n: np.ndarray | None, values: Iterator[np.ndarray], extra: np.ndarray) -> pa.RecordBatch:
+    """(term, n, c0..): sum of n (1 if None) and of the values (an array for each subject) of the entries of each term, and a row without a term of extra = (n, c0..)."""
+    cols = [np.bincount(at, x, len(terms)).astype(float) for x in (n, *values)]
+    there = cols[0] > 0
+    arrays = [pa.array([*terms[there].tolist(), None], pa.int64()), *(pa.array(np.append(c[there], x)) for c, x in zip(cols, extra))]
+    return pa.RecordBatch.from_arrays(arrays, names=["term", "n", *(f"c{k}" for k in range(len(cols) - 1))])
 
 
 def _sum_schema(k: int) -> str:
@@ -119,11 +148,9 @@ def seeds(tokens: DataFrame, ks: DataFrame, k: int) -> DataFrame:
             m = np.zeros((b.num_rows, k))
             for i, of in enumerate(b.column(1).to_pylist()):
                 m[i, of] = 1 / len(of)
-            doc, term = _flat(b.column(0))
-            order = np.lexsort((term, doc))
-            doc, term = doc[order], term[order]
-            once = np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1]))[: len(doc)]
-            yield _sums(term[once], m[doc[once]], np.append(b.num_rows, m.sum(axis=0)))
+            doc, own, at = _flat(b.column(0))
+            doc, at = np.divmod(np.unique(doc * len(own) + at), max(len(own), 1))
+            yield _sums(own, at, None, (m[doc, j] for j in range(k)), np.append(b.num_rows, m.sum(axis=0)))
 
     return labelled.mapInArrow(run, _sum_schema(k))
 
@@ -170,17 +197,16 @@ def mixtures(row: np.ndarray, u: np.ndarray, rest_u: np.ndarray, size: np.ndarra
         return np.empty(0, np.int64), np.empty((0, len(rest_u)))
     first = np.flatnonzero(np.diff(row, prepend=-1))
     count = np.diff(np.append(first, len(row)))
-    rep = np.repeat(np.arange(len(first)), count)
     at = row[first]
-    rest = (size[at] - count)[:, None]
-    w = np.full((len(first), len(rest_u)), 1 / len(rest_u))
+    rest = size[at] - count
+    u = np.ascontiguousarray(u.T)
+    w = np.full((len(rest_u), len(first)), 1 / len(rest_u))
     for _ in range(rounds):
-        r = w[rep] * u
-        r /= r.sum(axis=1, keepdims=True)
-        o = w * rest_u
-        w = np.add.reduceat(r, first, axis=0) + rest * o / o.sum(axis=1, keepdims=True)
-        w /= w.sum(axis=1, keepdims=True)
-    return at, w
+        each = 1 / sum(np.repeat(x, count) * y for x, y in zip(w, u))
+        o = w * rest_u[:, None]
+        w = w * np.stack([np.add.reduceat(y * each, first) for y in u]) + rest * o / o.sum(axis=0)
+        w /= w.sum(axis=0)
+    return at, w.T
 
 
 def _with_ratios(tokens: DataFrame, active: DataFrame, k: int, total: float) -> tuple[DataFrame, object | None]:
@@ -205,13 +231,14 @@ def _with_ratios(tokens: DataFrame, active: DataFrame, k: int, total: float) ->
     return numbered.join(own, "_row", "left").drop("_row"), tokens.sparkSession.sparkContext.broadcast(h)
 
 
-def _ratios(h: Components, doc: np.ndarray, term: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(entries with a part in a subject, their ratios)."""
+def _ratios(h: Components, doc: np.ndarray, own: np.ndarray, at: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(entries with a part in a subject, their ratios); own: the different terms, at: the place of each entry's among them."""
     if known.null_count == len(known):
-        at = h.find(term)
-        hit = np.flatnonzero(at >= 0)
-        return hit, h.u[at[hit]]
+        place = h.find(own)[at]
+        hit = np.flatnonzero(place >= 0)
+        return hit, h.u[place[hit]]
     pairs = {(i, e["term"]): e["u"] for i, of in enumerate(known.to_pylist()) for e in of or ()}
+    term = own[at]
     hit = np.array([j for j, x in enumerate(zip(doc.tolist(), term.tolist())) if x in pairs], np.int64)
     return hit, np.array([pairs[x] for x in zip(doc[hit].tolist(), term[hit].tolist())]).reshape(len(hit), len(h.rest))
 
@@ -223,23 +250,28 @@ def update(tokens: DataFrame, active: DataFrame, k: int, total: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
         for b in batches:
-            doc, term = _flat(b.column(0))
+            doc, own, place = _flat(b.column(0))
             if not len(doc):
                 continue
-            hit, u = _ratios(h, doc, term, b.column(1))
+            hit, u = _ratios(h, doc, own, place, b.column(1))
             size = np.bincount(doc, minlength=b.num_rows)
             at, w = mixtures(doc[hit], u, h.rest, size, INNER)
             says = w[:, :k].sum(axis=1) * size[at] >= 0.5
             at, w = at[says], w[says, :k]
-            m = np.zeros((b.num_rows, k))
-            m[at] = w / w.sum(axis=1, keepdims=True)
-            use = np.zeros(b.num_rows, bool)
-            use[at] = True
-            each = m[doc]
-            each[hit] *= u[:, :k] * h.mass[:k] + OWN  # a term with a part of its own leans to it within its document
-            mine = np.flatnonzero(use[doc])
-            each = each[mine]
-            yield _sums(term[mine], each / each.sum(axis=1, keepdims=True), np.append(len(at), m.sum(axis=0)))
+            m = np.zeros((k, b.num_rows))
+            m[:, at] = (w / w.sum(axis=1, keepdims=True)).T
+            use = np.zeros(b.num_rows)
+            use[at] = 1
+            lean = [m[j, doc[hit]] * (u[:, j] * h.mass[j] + OWN) for j in range(k)]  # a term with a part of its own leans to it within its document
+            all_ = sum(lean)
+            all_[all_ == 0] = 1  # documents without a subject
+
+            def value(j: int) -> np.ndarray:
+                each = np.repeat(m[j], size)
+                each[hit] = lean[j] / all_
+                return each
+
+            yield _sums(own, place, np.repeat(use, size), map(value, range(k)), np.append(len(at), m.sum(axis=1)))
 
     return rows.select("terms", "known").mapInArrow(run, _sum_schema(k))
 
@@ -277,12 +309,12 @@ def shares(docs: DataFrame, subject_labels: DataFrame, subjects: DataFrame) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = shared.value
         for b in batches:
-            doc, term = _flat(b.column(3))
+            doc, own, place = _flat(b.column(3))
             if not len(doc):
                 continue
-            sent = _flat(b.column(2))[1]
+            sent = b.column(2).flatten().to_numpy()
             key = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (sent[1:] != sent[:-1])))  # sentences of the batch
-            hit, u = _ratios(h, doc, term, b.column(4))
+            hit, u = _ratios(h, doc, own, place, b.column(4))
             size = np.bincount(key)
             at, w = mixtures(key[hit], u, h.rest, size, 2 * INNER)
             best = w[:, :k].argmax(axis=1)
