@@ -40,6 +40,7 @@ ALPHABETS = {
     "eng": "", "fra": "àâæçéèêëîïôœùûüÿ", "ita": "àèéìíîòóùú", "deu": "äöüß", "ces": "áčďéěíňóřšťúůýž",
     "hsb": "ćčěłńóřŕšśžź", "mlt": "àċèġħìîòùż", "ukr": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя",
 }
+OWN = "|".join(f"[{'a-z' if lang != 'ukr' else ''}{letters}]+" for lang, letters in ALPHABETS.items())  # words in one language's letters
 PLAIN = "–—’‘‚“”„«»‹›…•·°§€£№©®™  ½²³"  # marks that ordinary text holds
 SINGLE = ["cp1252", "cp1250", "cp1251", "latin-1", "iso8859-2", "iso8859-3", "iso8859-5", "iso8859-15", "mac_roman", "mac_latin2", "cp437", "cp850", "cp852", "cp866", "koi8-u"]
 TWICE = ["cp1252", "latin-1"]
@@ -77,8 +78,7 @@ def word_counts(rows: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, Da
     words = each.select(F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("w")).where("w <> ''")
     counts = materialise(words.groupBy("w").agg(F.count("*").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    own = "|".join(f"[{'a-z' if lang != 'ukr' else ''}{letters}]+" for lang, letters in ALPHABETS.items())
-    good = counts.where((F.col("n") >= 2) & F.col("w").rlike(f"^(?:{own})$"))
+    good = counts.where((F.col("n") >= 2) & F.col("w").rlike(f"^(?:{OWN})$"))
     by_n = sorted(good.groupBy("n").agg(F.count("*").alias("k")).collect(), key=lambda r: r["n"])  # how many words occur so often; as different counts add up to the total at most, there are at most sqrt(2 total) of them
     above, least = good.count(), 2
     for r in by_n:
@@ -222,15 +222,29 @@ class Decoder:
         good = {c for letters in ALPHABETS.values() for c in letters + letters.upper()} | set(PLAIN)
         self.good = good
         self.runs = re.compile(r"[^\W\d_]+")
+        self.own = re.compile(OWN)
 
     def with_words(self, words: dict[str, float], fits: dict[str, tuple[float, str]]) -> None:
-        """Further words of the next text; what was read without them is forgotten."""
-        if words or self.of_text:
-            self.memo.clear()
-        if words or fits or self.of_text or self.fits:
-            self.lost.clear()
+        """Further words of the next text: all that `asked` and `shapes` name for its tokens, so a token reads alike in every text."""
         self.of_text, self.fits = words, fits
 
+    def asked(self, tok: str) -> list[str]:
+        """The words not among the most frequent that the readings of a token may hold."""
+        words, beyond = self.plain(tok), {c for c in tok if c > "\x7f"}
+        if words and self.known(words):
+            return []
+        texts = [tok, folded(tok), *(r for chars, _, group in channels()[1] if beyond <= chars for _, _, _, read in group if (r := read(tok)))]
+        return sorted({w for s in texts for x in self.runs.findall(s) if (w := x.lower()) not in self.logp and self.own.fullmatch(w)})
+
+    def plain(self, tok: str) -> list[str]:
+        """The words of a token in ordinary letters and marks; none if one of them is short."""
+        words = self.runs.findall(tok)
+        return words if {c for c in tok if c > "\x7f"} <= self.good and all(len(w) > 2 for w in words) else []
+
+    def known(self, words: list[str]) -> bool:
+        """Whether all are words as they should be."""
+        return all((w.lower() in self.logp or w.lower() in self.of_text) and (w.islower() or w[1:].islower() or w.isupper()) for w in words)
+
     def score(self, s: str) -> tuple[float, int]:
         """(log probability, known words) of one reading."""
         total, known = 0.0, 0
@@ -269,12 +283,11 @@ class Decoder:
             own, _ = self.score(tok)
             out = []
             beyond = {c for c in tok if c > "\x7f"}
-            words = self.runs.findall(tok)
-            plain = beyond <= self.good and words and all(len(w) > 2 for w in words)
-            if plain and all((w.lower() in self.logp or w.lower() in self.of_text) and (w.islower() or w[1:].islower() or w.isupper()) for w in words):
+            words = self.plain(tok)
+            if words and self.known(words):
                 got = self.memo[tok] = (own, [])  # a word as it should be needs no other reading
                 return got
-            pure = plain and all("Ѐ" <= c <= "ӿ" for w in words for c in w)  # bytes of a Latin text do not give whole Cyrillic words
+            pure = words and all("Ѐ" <= c <= "ӿ" for w in words for c in w)  # bytes of a Latin text do not give whole Cyrillic words
             most, odd = 4 - own, sorted(c for c in tok if c > "\x7f")
             # a reading scores no more than what its characters cost, so one that cannot come near the token is not made
             tries = [(k, read) for chars, cyr, group in channels()[1] if beyond <= chars and (cyr or not pure) for k, both, price, read in group if (both or not pure) and (not price or sum(price.get(c, 0) for c in odd) < most)]
@@ -417,17 +430,21 @@ def _extra(odd: DataFrame, others: DataFrame, total: float, known: Broadcast) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Decoder(known.value)
         open_: dict[tuple, list[tuple[int, int, int, str]]] = {}  # lookups of the shapes that no frequent word fits
+        asked: dict[str, list[str]] = {}
         for b in batches:
             rows, words, patterns, keys = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen, shapes = set(), set()
                 for tok in re.split(r"[ \t\r\n]+", t):
                     if "�" in tok:
-                        seen.update(w.lower() for w in d.runs.findall(tok))
+                        seen.update(w for x in d.runs.findall(tok) if (w := x.lower()) not in d.logp and d.own.fullmatch(w))
                         shapes.update(x for channel in (None, *TWICE) for _, _, x in d.shapes(tok, channel) if x)
                     elif not tok.isascii():
-                        for s in (tok, folded(tok), *(r for chars, _, group in channels()[1] for _, _, _, read in group if (r := read(tok)))):
-                            seen.update(w.lower() for w in d.runs.findall(s))
+                        if len(asked) > MEMO:
+                            asked.clear()
+                        if tok not in asked:
+                            asked[tok] = d.asked(tok)
+                        seen.update(asked[tok])
                 if len(open_) > MEMO:
                     open_.clear()
                 for x in shapes - open_.keys():

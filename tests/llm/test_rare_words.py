@@ -28,3 +28,17 @@ def test_lost_bytes_of_rare_words(spark, monkeypatch):
     for most in (5, 1):
         monkeypatch.setattr(M, "MAX_WORDS", most)
         assert run() == all_
+
+
+def test_asked_words_are_all_that_readings_need():
+    words = (COMMON + " " + RARE).split()
+    logp = {w: -5.0 - i / 10 for i, w in enumerate(words)}
+    top = {w: p for w, p in logp.items() if w in COMMON.split()}
+    whole, part = M.Decoder(logp), M.Decoder(top)
+    tables = [M.sloppy(c) for c in M.SINGLE]
+    toks = [*words, *(w.capitalize() + "," for w in words)]
+    toks += ["".join(t[b] for b in w.encode("utf-8")) for w in words for t in tables] + ["".join(t[b] for b in w.encode("cp1252")) for w in words if w.isascii() or "é" in w for t in tables]
+    for tok in toks:
+        part.with_words({w: logp[w] for w in M.Decoder(top).asked(tok) if w in logp}, {})
+        assert part.readings(tok) == whole.readings(tok), tok
+    assert not any(w in top for tok in toks for w in M.Decoder(top).asked(tok))
