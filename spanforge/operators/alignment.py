@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, IntegerType
 
-from spanforge.common import materialise
+from spanforge.common import materialise, ship
 from spanforge.operators.lattice import let
 
 PHRASE = "struct<s_start:int,s_end:int,t_start:int,t_end:int>"
@@ -62,35 +63,49 @@ def phrases(rows: DataFrame, align: DataFrame) -> DataFrame:
     return each.select("line_no", "p.*", part(F.col("s"), F.col("p.s_start"), F.col("p.s_end")).alias("src_phrase"), part(F.col("t"), F.col("p.t_start"), F.col("p.t_end")).alias("trg_phrase"))
 
 
+def grown(si: list[int], ti: list[int], side: list[int]) -> list[int]:
+    """Places of the links (si, ti) of one line that symmetrisation keeps; side is 1 for a forward and 2 for a backward link."""
+    at: dict[tuple[int, int], int] = {}
+    sides: dict[tuple[int, int], int] = {}
+    for i, (k, x) in enumerate(zip(zip(si, ti), side)):
+        at.setdefault(k, i)
+        sides[k] = sides.get(k, 0) | x
+    got = {k for k, x in sides.items() if x == 3}
+    rest = sides.keys() - got
+    s, t = {k[0] for k in got}, {k[1] for k in got}
+    new = got
+    while new:
+        rest = {k for k in rest if k not in new}
+        new = {(x, y) for x, y in rest if (x not in s or y not in t) and any((x + a, y + c) in got for a in (-1, 0, 1) for c in (-1, 0, 1))}
+        got = got | new
+        s, t = s | {k[0] for k in new}, t | {k[1] for k in new}
+    first: dict[int, int] = {}  # of each free source word its first free target word, then of each target word its first source word
+    for x, y in rest:
+        if x not in s and y not in t:
+            first[x] = min(y, first.get(x, y))
+    last: dict[int, int] = {}
+    for x, y in first.items():
+        last[y] = min(x, last.get(y, x))
+    return [at[k] for k in (*got, *((x, y) for y, x in last.items()))]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _grown(si: pd.Series, ti: pd.Series, side: pd.Series) -> pd.Series:
+    return pd.Series([grown(a.tolist(), b.tolist(), c.tolist()) for a, b, c in zip(si, ti, side)], dtype=object)
+
+
 def symmetrise(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """(line_no, si, ti): grow-diag-final-and of two link sets, by rounds over all lines at once.
+    """(line_no, si, ti): grow-diag-final-and of two link sets, line by line.
 
-    The intersection grows by union links that neighbour a link and bring in a word without one, until no line grows; at
+    The intersection grows by union links that neighbour a link and bring in a word without one, until it grows no more; at
     the end union links of which both words are still free are added.  Links added in one round see the links of the
     round before, which keeps the result independent of order."""
+    ship(forward.sparkSession)
     key = ["line_no", "si", "ti"]
-    f, b = forward.select(key).distinct(), backward.select(key).distinct()
-    union = materialise(f.union(b).distinct(), "union")
-    got = materialise(f.intersect(b), "links")
-
-    def free(links: DataFrame, both: bool) -> DataFrame:
-        s = links.select("line_no", "si").distinct().withColumn("sx", F.lit(True))
-        t = links.select("line_no", "ti").distinct().withColumn("tx", F.lit(True))
-        c = union.join(links, key, "left_anti").join(s, ["line_no", "si"], "left").join(t, ["line_no", "ti"], "left")
-        return c.where("sx is null and tx is null" if both else "sx is null or tx is null").select(key)
-
-    near = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a in (-1, 0, 1) for c in (-1, 0, 1) if (a, c) != (0, 0)])
-    while True:
-        around = got.select("line_no", "si", "ti", F.explode(near).alias("d")).select("line_no", (F.col("si") + F.col("d.a")).alias("si"), (F.col("ti") + F.col("d.c")).alias("ti")).distinct()
-        new = materialise(free(got, False).join(around, key, "left_semi"), "grown")
-        if new.isEmpty():
-            break
-        got = materialise(got.union(new), "links")
-    last = free(got, True)
-    one = Window.partitionBy("line_no", "si").orderBy("ti")
-    two = Window.partitionBy("line_no", "ti").orderBy("si")
-    last = last.withColumn("r", F.row_number().over(one)).where("r = 1").withColumn("r", F.row_number().over(two)).where("r = 1").select(key)
-    return got.union(last)
+    both = forward.select(*key, F.lit(1).alias("side")).union(backward.select(*key, F.lit(2).alias("side")))
+    of_line = both.groupBy("line_no").agg(F.collect_list(F.struct("si", "ti", "side")).alias("l"))  # links of one line
+    kept = of_line.select("line_no", "l", F.explode(_grown(F.col("l.si"), F.col("l.ti"), F.col("l.side"))).alias("i"))
+    return kept.select("line_no", F.get("l", F.col("i")).alias("k")).select("line_no", "k.si", "k.ti")
 
 
 def lexical_step(pairs: DataFrame, t: DataFrame | None = None) -> DataFrame:
