@@ -34,3 +34,13 @@ def test_no_shuffle_files_left(spark):
     assert t.count() == 1000 and t.where("count = 1").count() == 1000
     materialise(spark.range(1000).repartition(3, "id"), "u")
     assert files() <= before + 4  # those of the counts above only
+
+
+def test_best():
+    from spanforge.operators.lattice import best
+
+    inf = float("inf")
+    assert best("abc", [(0, 1, -1.0), (1, 2, -1.0), (0, 2, -2.0), (2, 3, -1.0)], frozenset("abc"), 5.0) == (-3.0, ["a", "b", "c"])  # a tie goes to the shortest last span
+    assert best("abc", [(0, 3, -inf), (0, 1, -1.0)], frozenset("abc"), 5.0) == (5.0, ["abc"])  # no finite score: the least count
+    assert best("abc", [(0, 3, -inf), (0, 1, -1.0)], frozenset("abc"), None) == (0.0, ["a", "b", "c"])  # or no edge; a place no edge reaches resets the score
+    assert best("ax", [(0, 1, -1.0), (0, 2, -1.0)], frozenset("a"), 5.0) == (0.0, ["a", "x"])
